@@ -7,6 +7,13 @@ import importlib
 #: Query name -> module of this folder; each module has query(spark, sf_dir) and may have ORACLE_SQL.
 MODULES = {
     "op1_quality_divergence": "op1_quality",
+    "op2_benchmark_containment": "op2_decontaminate",
+    "op3_pii_disclosure": "op3_pii",
+    "op4_licence_sentences": "op4_licences",
+    "op5_residual_packing": "op5_packing",
+    "op6_warc_revisits": "op6_warc",
+    "op7_reply_trees": "op7_chat",
+    "op10_simhash_trie": "op10_simhash",
 }
 
 
