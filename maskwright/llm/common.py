@@ -37,6 +37,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of keys (a few numbers each) that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(keys: DataFrame) -> DataFrame:
+    """A stored table of keys, to be broadcast if a count proves it small, else joined as Spark sees fit."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once a row and bound to a lambda variable."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

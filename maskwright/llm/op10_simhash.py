@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import stored, table
+from maskwright.llm.common import bounded, stored, table
 from maskwright.llm.graph import components
 
 BUDGET = 4
@@ -216,11 +216,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with a null doc_id stay unless their component has a document with one.
     """
     found = stored(near_duplicates(docs))
-    gone = found.filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash").distinct()
+    gone = bounded(stored(found.filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash").distinct()))
     rest = docs.withColumn("__hash", F.xxhash64("text")).alias("d")
     same = lambda other: F.col("d.doc_id").eqNullSafe(F.col(f"{other}.doc_id")) & (F.col("d.__hash") == F.col(f"{other}.text_hash"))
     rest = rest.join(gone.alias("g"), same("g"), "left_anti").alias("d")
-    twice = stored(found.groupBy("doc_id", "text_hash").count().filter((F.col("count") > 1) & F.col("doc_id").isNotNull()).select("doc_id", "text_hash"))
+    twice = bounded(stored(found.groupBy("doc_id", "text_hash").count().filter((F.col("count") > 1) & F.col("doc_id").isNotNull()).select("doc_id", "text_hash")))
     once = rest.join(twice.alias("t"), same("t"), "left_anti")
     again = rest.join(twice.alias("t"), same("t"), "left_semi").dropDuplicates(["doc_id", "__hash"])
     return once.unionByName(again).select(*docs.columns)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import SPACES, let, shingle_hashes, stored, table, text_or_empty, words_of
+from maskwright.llm.common import SPACES, bounded, let, shingle_hashes, stored, table, text_or_empty, words_of
 
 #: Twenty common words of each language.
 COMMON = {
@@ -153,7 +153,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """The documents that are kept, all columns as they were."""
-    rejected = verdicts(docs).filter(~F.col("kept")).select("doc_id", "lang", "text_hash").distinct()
+    rejected = bounded(stored(verdicts(docs).filter(~F.col("kept")).select("doc_id", "lang", "text_hash").distinct()))
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("doc_id", "lang")]
     return docs.alias("d").join(rejected.alias("r"), [*same, F.xxhash64("d.text") == F.col("r.text_hash")], "left_anti")
 

@@ -13,6 +13,8 @@ MODULES = {
     "op5_residual_packing": "op5_packing",
     "op6_warc_revisits": "op6_warc",
     "op7_reply_trees": "op7_chat",
+    "op8_attention_quality": "op8_quality_mil",
+    "op9_attention_lm": "op9_lm",
     "op10_simhash_trie": "op10_simhash",
 }
 
