@@ -13,7 +13,9 @@ whole documents would need thousands of hash functions. Every document, whole, p
 sketches; what it meets is verified by exact containment of the shingles' words.
 
 The sketches are broadcast if the benchmark's texts measure at most BROADCAST_BYTES;
-beyond it Spark joins by the hash, and divides hot hashes as it does any skewed join.
+beyond it Spark joins by the hash, and divides hot hashes as it does any skewed join. Of
+the texts only those that met a sketch are moved, while their keys are few enough to be
+broadcast.
 
 Defined cases: null and empty texts have no shingles and meet nothing; repeated rows are
 one document each, found together; rows with a null item_id are no items; ties do not
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import let, shingle_hashes, stored, table, text_or_empty
+from maskwright.llm.common import bounded, let, shingle_hashes, stored, table, text_or_empty
 
 THRESHOLD_PERCENT = 80
 WORDS = 5
@@ -65,18 +67,25 @@ def sketches(benchmark: DataFrame) -> DataFrame:
     return items.select("item_id", "shingles", "size_class", F.slice(F.sort_array("hashes"), F.lit(1), kept).alias("sketch"))
 
 
+def _same(docs: str, keys: str) -> Column:
+    """Whether a document, by doc_id and text, is the one of a key."""
+    return F.col(f"{docs}.doc_id").eqNullSafe(F.col(f"{keys}.doc_id")) & (F.xxhash64(f"{docs}.text") == F.col(f"{keys}.text_hash"))
+
+
 def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row a pair: doc_id, text_hash, item_id, n_shared, n_shingles, containment."""
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bounded = F.broadcast if total <= BROADCAST_BYTES else (lambda df: df)
+    small = F.broadcast if total <= BROADCAST_BYTES else (lambda df: df)
     items = stored(sketches(benchmark))
-    probes = bounded(items.select("item_id", F.explode("sketch").alias("hash")))
+    probes = small(items.select("item_id", F.explode("sketch").alias("hash")))
     # explode() would have Spark test the array for being empty first, by making it twice.
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode_outer(_hashes(_words(text_or_empty()))).alias("hash"))
-    met = rows.join(probes, "hash").select("doc_id", "text_hash", "item_id").distinct()
-    met = met.join(bounded(items.select("item_id", "shingles")), "item_id")
-    met = stored(met.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_id", "shingles")).alias("items")))
-    exact = docs.select("doc_id", "text").distinct().alias("d").join(met.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.xxhash64("d.text") == F.col("m.text_hash")))
+    met = stored(rows.join(probes, "hash").select("doc_id", "text_hash", "item_id").distinct())
+    # The texts of the documents that met an item, without moving the others.
+    keys = bounded(stored(met.select("doc_id", "text_hash").distinct())).alias("k")
+    texts = docs.select("doc_id", "text").alias("d").join(keys, _same("d", "k"), "left_semi").distinct()
+    lists = met.join(small(items.select("item_id", "shingles")), "item_id").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_id", "shingles")).alias("items"))
+    exact = texts.alias("d").join(lists.alias("m"), _same("d", "m"))
     shared = lambda own: F.transform("items", lambda x: F.struct(x.item_id.alias("item_id"), F.size(F.array_intersect(x.shingles, own)).cast("long").alias("n_shared"), F.size(x.shingles).cast("long").alias("n_shingles")))
     pairs = exact.select("d.doc_id", "text_hash", F.inline_outer(let(_shingles(_words(text_or_empty("d.text"))), shared)))
     pairs = pairs.filter(F.col("n_shared") * 100 >= F.col("n_shingles") * THRESHOLD_PERCENT)
@@ -85,9 +94,8 @@ def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that contain no item, all columns as they were."""
-    found = stored(contained(docs, benchmark).select("doc_id", "text_hash").distinct())
-    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.xxhash64("d.text") == F.col("f.text_hash"))
-    return docs.alias("d").join(found.alias("f"), same, "left_anti")
+    found = bounded(stored(contained(docs, benchmark).select("doc_id", "text_hash").distinct()))
+    return docs.alias("d").join(found.alias("f"), _same("d", "f"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
