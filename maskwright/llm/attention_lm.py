@@ -1,7 +1,8 @@
 """A small causal self-attention language model in numpy, over subword ids.
 
 One attention layer reads the symbols before a token and gives the distribution over
-classes of ids; the id within its class follows the corpus counts. Texts are cut into
+classes of ids; the id within its class follows the corpus counts. Ids that open a word
+and ids that go on with one are in classes of their own, each of about the same mass. Texts are cut into
 overlapping windows of PAST + NEW inputs of which the last NEW are scored, so each token
 is scored once, with at least PAST inputs of context where the text has them. All windows
 of a batch go through masked attention at once.
@@ -14,21 +15,26 @@ import numpy as np
 DIM = 16
 PAST, NEW = 8, 24
 SYMBOLS, SHARED = 1024, 64
-CLASSES = 48
+CLASSES = 64
 END = 50256
 IDS = 50257
 #: Windows in one matrix product, and in one step of training.
-BATCH = 384
-RATE = 4e-3
+BATCH = 192
+RATE = 8e-3
+#: The layers below the output take a step on every so many batches, the output on each.
+DEEP = 4
 SPAN = PAST + NEW
 CAUSAL = (np.arange(SPAN)[None, :] <= np.arange(NEW)[:, None] + PAST).astype(np.float32)
 SHAPES = {"e": (SYMBOLS, DIM), "p": (SPAN, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, DIM), "c": (DIM, CLASSES), "b": (CLASSES,)}
 
 
 class Vocabulary:
-    """symbol, cls, inner (natural log of the share within the class) of each id, from corpus counts."""
+    """symbol, cls, inner (natural log of the share within the class) of each id, from corpus counts.
 
-    def __init__(self, counts: np.ndarray):
+    opens: which ids open a word.
+    """
+
+    def __init__(self, counts: np.ndarray, opens: np.ndarray):
         mass = counts + 0.5
         order = np.argsort(-mass, kind="stable")
         self.symbol = np.empty(IDS, np.int32)
@@ -36,9 +42,11 @@ class Vocabulary:
         rare = order[SYMBOLS - SHARED :]
         self.symbol[rare] = SYMBOLS - SHARED + rare % SHARED
         self.cls = np.empty(IDS, np.int32)
-        before = np.cumsum(mass[order]) - mass[order]
-        self.cls[order] = np.minimum((before / mass.sum() * CLASSES).astype(np.int32), CLASSES - 1)
-        self.inner = (np.log(mass) - np.log(np.bincount(self.cls, mass, CLASSES))[self.cls]).astype(np.float32)
+        n_open = int(np.clip(round(CLASSES * mass[opens].sum() / mass.sum()), 1, CLASSES - 1))
+        for own, first, n in ((order[opens[order]], 0, n_open), (order[~opens[order]], n_open, CLASSES - n_open)):
+            before = np.cumsum(mass[own]) - mass[own]
+            self.cls[own] = first + np.minimum((before / mass[own].sum() * n).astype(np.int32), n - 1)
+        self.inner = (np.log(mass) - np.log(np.maximum(np.bincount(self.cls, mass, CLASSES), 0.5))[self.cls]).astype(np.float32)
         self.start = np.log(np.maximum(np.bincount(self.cls, mass, CLASSES), 0.5) / mass.sum()).astype(np.float32)
 
 
@@ -96,7 +104,8 @@ class Windows:
 
 def forward(w: dict[str, np.ndarray], symbols: np.ndarray, outside: np.ndarray) -> dict[str, np.ndarray]:
     n = len(symbols)
-    x = w["e"][symbols] + w["p"]
+    x = np.take(w["e"], symbols, axis=0)
+    x += w["p"]
     own = np.ascontiguousarray(x[:, PAST:])
     q = np.ones((n, NEW, DIM + 1), np.float32)
     k = np.empty((n, SPAN, DIM + 1), np.float32)
@@ -112,7 +121,8 @@ def forward(w: dict[str, np.ndarray], symbols: np.ndarray, outside: np.ndarray)
     z += 1e-20
     o = (a @ v) / z
     h = np.tanh(own.reshape(-1, DIM) + o.reshape(-1, DIM) @ w["o"])
-    logits = h @ w["c"] + w["b"]
+    logits = h @ w["c"]
+    logits += w["b"]
     return {"x": x, "own": own, "q": q, "k": k, "v": v, "a": a, "z": z, "o": o, "h": h, "logits": logits}
 
 
@@ -138,7 +148,8 @@ class Trainer:
         self.w = {n: x.copy() for n, x in weights.items()}
         self.m = {n: np.zeros_like(x) for n, x in self.w.items()}
         self.s = {n: np.zeros_like(x) for n, x in self.w.items()}
-        self.steps, self.tokens = 0, 0
+        self.steps, self.tokens = dict.fromkeys(self.w, 0), 0
+        self.batches = 0
 
     def show(self, windows: Windows) -> None:
         for symbols, outside, at, counts in windows.batches():
@@ -149,12 +160,27 @@ class Trainer:
         f = forward(w, symbols, outside)
         use = counts.ravel()[:, None] / max(1, counts.sum())
         p = f["logits"]
-        p -= p.max(axis=1, keepdims=True)
+        np.minimum(p, 60, out=p)
         np.exp(p, out=p)
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(p)), classes.ravel()] -= 1
         p *= use.astype(np.float32)
         g = {"c": f["h"].T @ p, "b": p.sum(axis=0)}
+        self.tokens += int(counts.sum())
+        self.batches += 1
+        if (self.batches - 1) % DEEP == 0:
+            self.below(g, p, f, symbols, n)
+        for name, own in g.items():
+            self.steps[name] += 1
+            rate = RATE * np.sqrt(1 - 0.999 ** self.steps[name]) / (1 - 0.9 ** self.steps[name])
+            m, v = self.m[name], self.s[name]
+            m += 0.1 * (own - m)
+            v += 0.001 * (own**2 - v)
+            w[name] -= (rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
+
+    def below(self, g: dict[str, np.ndarray], p: np.ndarray, f: dict[str, np.ndarray], symbols: np.ndarray, n: int) -> None:
+        """Adds the gradients of all but the output to g."""
+        w = self.w
         du = (p @ w["c"].T) * (1 - f["h"] ** 2)
         flat_o = f["o"].reshape(-1, DIM)
         g["o"] = flat_o.T @ du
@@ -174,11 +200,3 @@ class Trainer:
         g["p"] = dx.sum(axis=0)
         flat, marks = dx.reshape(-1, DIM), symbols.ravel()
         g["e"] = np.stack([np.bincount(marks, flat[:, j], SYMBOLS) for j in range(DIM)], axis=1).astype(np.float32)
-        self.steps += 1
-        self.tokens += int(counts.sum())
-        rate = RATE * np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
-        for name, x in w.items():
-            m, s = self.m[name], self.s[name]
-            m += 0.1 * (g[name] - m)
-            s += 0.001 * (g[name] ** 2 - s)
-            x -= (rate * m / (np.sqrt(s) + 1e-8)).astype(np.float32)

@@ -49,8 +49,15 @@ class Encoder(dict):
             file = json.load(f)
         special = {x["content"] for x in file.get("added_tokens", [])}
         ranks = {bytes(letters[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in special}
+        self.ranks = ranks
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    def opens(self, n: int) -> np.ndarray:
+        """Which of the ids below n begin with a space."""
+        out = np.zeros(n, bool)
+        out[[i for token, i in self.ranks.items() if token[:1] == b" "]] = True
+        return out
+
     def _bytes(self, text: str) -> bytes:
         return np.array(self.encode(text), "<u4").tobytes()
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def vocabulary_of(path: str, counts: np.ndarray) -> lm.Vocabulary:
+    return lm.Vocabulary(counts, bpe.encoder(path).opens(lm.IDS))
+
+
 class Table(dict):
     """word -> its place; for each place the subword ids and the base log10 (nan: not a frequent word)."""
 
@@ -98,9 +103,10 @@ class Table(dict):
 
     def subwords(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words at places, end to end, and how many each word has."""
-        starts, lengths = np.array(self.starts, np.int32)[places], np.array(self.lengths, np.int32)[places]
+        # The buffers are let go at once, as an array can't grow while one is held.
+        starts, lengths = (np.frombuffer(x, np.int32)[places] for x in (self.starts, self.lengths))
         at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-        return np.array(self.ids, np.int32)[at], lengths
+        return np.frombuffer(self.ids, np.int32)[at], lengths
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[list[bytes]]]]:
@@ -125,7 +131,7 @@ def _windows(known: Table, vocabulary: lm.Vocabulary, words: list[list[bytes]])
     if len(known) >= CACHED:
         known.reset()
     n_words = np.array([len(w) for w in words])
-    places = np.fromiter((known[w] for own in words for w in own), np.int64, int(n_words.sum()))
+    places = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, int(n_words.sum()))
     ids, lengths = known.subwords(places)
     ends = np.r_[0, np.cumsum(lengths)][np.cumsum(n_words)]
     return lm.Windows(vocabulary, ids, np.diff(np.r_[0, ends])), places, n_words
@@ -146,7 +152,7 @@ def _count_ids(path: str) -> Callable:
 
 def _train(path: str, counts: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = lm.Vocabulary(counts)
+        vocabulary = vocabulary_of(path, counts)
         known, trainer = Table(path, {}), lm.Trainer(lm.initial(vocabulary))
         for _, words in _chunks(batches):
             trainer.show(_windows(known, vocabulary, words)[0])
@@ -174,7 +180,7 @@ def trained(docs: DataFrame, path: str, counts: np.ndarray) -> bytes:
     while state.count() > FAN:
         state = stored(state.groupBy(F.expr(f"part div {FAN}").alias("g")).applyInArrow(lambda rows: _averaged(rows.drop_columns(["g"])), kind).withColumn("part", F.expr(f"part div {FAN}")))
     rows = sorted(state.collect(), key=lambda r: r.part)
-    return _mean([r.tokens for r in rows], [bytes(r.weights) for r in rows])[1] if rows else lm.packed(lm.initial(lm.Vocabulary(counts)))
+    return _mean([r.tokens for r in rows], [bytes(r.weights) for r in rows])[1] if rows else lm.packed(lm.initial(vocabulary_of(path, counts)))
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<struct<word:binary,n:long>>"
@@ -184,13 +190,13 @@ def _score(path: str, counts: np.ndarray, weights: bytes, frequent: dict[bytes,
     rest_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, model = lm.Vocabulary(counts), lm.unpacked(weights)
+        vocabulary, model = vocabulary_of(path, counts), lm.unpacked(weights)
         known = Table(path, frequent)
         for rows, words in _chunks(batches):
             windows, places, n_words = _windows(known, vocabulary, words)
             found = np.r_[0.0, np.cumsum(lm.log_probabilities(model, windows))]
             score = (found[np.r_[windows.starts[1:], len(windows.targets)]] - found[windows.starts]) / np.log(10)
-            base = np.array(known.base, np.float64)[places]
+            base = np.frombuffer(known.base, np.float64)[places]
             rare = np.isnan(base)
             until, hits = np.r_[0.0, np.cumsum(np.where(rare, 0.0, base))], np.r_[0, np.cumsum(~rare)]
             stops = np.cumsum(n_words)
