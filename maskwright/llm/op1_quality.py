@@ -164,3 +164,36 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(docs)
+
+
+def _oracle() -> str:
+    lists = " ".join(f"WHEN '{name}' THEN [{', '.join(repr(w) for w in words)}]" for name, words in COMMON.items())
+    classes = ", ".join(f"length(regexp_replace(t, '[^{c}]+', '', 'g'))" for c in CLASSES)
+    total = lambda name, n: "[" + ", ".join(f"coalesce(sum({name}[{i}]) FILTER (n_words >= {MIN_WORDS}), 0)::DOUBLE" for i in range(1, n + 1)) + "]"
+
+    def distance(counts: str, reference: str, n: int) -> str:
+        p, q = f"({counts}[i] / list_sum({counts}))", f"({reference}[i] / list_sum({reference}))"
+        part = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({p} + {q}) / 2)) ELSE 0 END"
+        whole = f"sqrt(greatest(list_sum(list_transform(range(1, {n + 1}), lambda i: ({part(p)} + {part(q)}) / 2)), 0))"
+        return f"CASE WHEN n_words >= {MIN_WORDS} AND word_chars >= {MIN_CHARS} AND list_sum({counts}) > 0 AND list_sum({reference}) > 0 THEN round({whole}, 6) ELSE 0.0 END"
+
+    return f"""
+WITH a AS (SELECT doc_id, CASE WHEN lang IN ({', '.join(repr(x) for x in COMMON)}) THEN lang ELSE 'other' END AS language, coalesce(text, '') AS t FROM documents),
+b AS (SELECT *, list_filter(string_split_regex(t, '[{SPACES}]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{SPACES}]')) AS lines,
+  CASE language {lists} ELSE [] END AS common FROM a),
+c AS (SELECT *, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(lines) - len(list_distinct(lines)) AS n_dup_lines, [{classes}] AS part,
+  list_transform(common, lambda x: len(list_filter(w, lambda y: y = x))) AS hits FROM b),
+d AS (SELECT *, list_append(part, length(t) - list_sum(part)) AS cc, list_concat(list_concat(hits, list_transform(range(0, {BINS - 1} - len(hits)), lambda x: 0)), [n_words - coalesce(list_sum(hits), 0)]) AS wc FROM c),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM b WHERE len(w) >= 5),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1), (VALUES (0), (1), (2), (3), (4)) AS v(k) GROUP BY doc_id),
+f AS (SELECT language, {total('cc', len(CLASSES) + 1)} AS cr, {total('wc', BINS)} AS wr FROM d GROUP BY language),
+x AS (SELECT d.doc_id, n_words, word_chars, cc[5] AS n_symbols, n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+  {distance('cc', 'cr', len(CLASSES) + 1)} AS class_distance, {distance('wc', 'wr', BINS)} AS word_distance
+  FROM d JOIN f USING (language) LEFT JOIN r ON r.doc_id = d.doc_id)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND class_distance <= {MAX_CLASS_DISTANCE} AND word_distance <= {MAX_WORD_DISTANCE}
+  AND (class_distance <= {BOTH_CLASS_DISTANCE} OR word_distance <= {BOTH_WORD_DISTANCE}) AS kept FROM x
+"""
+
+
+ORACLE_SQL = _oracle()
