@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions import text as T
-from maskwright.functions import values as V
+from maskwright.sources.tables import stored
 
 MAPPINGS = "case_id string, token string, original string, first_seen timestamp"
 ARCHIVE = "id long, created_at timestamp, mode string, title string, redacted_text string, entity_counts map<string,int>, content_kind string, redacted_html string, image_path string"
@@ -34,14 +34,24 @@ def collisions(mappings: DataFrame, normalise: Column | None = None) -> DataFram
 def restore_case(texts: DataFrame, mappings: DataFrame, text: str = "text") -> DataFrame:
     """texts (case_id, text) with every token of the case replaced, in the order of tokens.
 
-    Replacement is sequential: an original that holds a token is replaced again by a later one.
-    Only the tokens that are in a text are joined to it; those that a replacement brings in
-    come from the case's other rows, which are few for cases of one document.
+    Replacement is sequential: an original that holds a token is replaced again by a later
+    one. A text is joined with the tokens that it holds and with those that their originals
+    hold in turn, never with the whole of a large case.
     """
-    known = mappings.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("token", "original"))).alias("__m"))
+    known = mappings.select("case_id", "token", "original")
+    rows = stored(texts.withColumn("__row", F.monotonically_increasing_id()))
+    held = lambda df, c: df.filter(T.has_token(F.col(c))).select("__row", "case_id", F.explode_outer(T.extract_tokens(F.col(c))).alias("token"))
+    found = stored(held(rows, text).join(known, ["case_id", "token"]))
+    while found.filter(T.has_token(F.col("original"))).limit(1).count():
+        more = held(found, "original").join(found, ["__row", "token"], "left_anti").distinct().join(known, ["case_id", "token"])
+        more = stored(more.select(*found.columns))
+        if not more.limit(1).count():
+            break
+        found = stored(found.union(more))
+    lists = found.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("token", "original"))).alias("__m"))
     put = lambda s, m: F.replace(s, m.token, m.original)
-    joined = texts.join(known, "case_id", "left")
-    return joined.withColumn(text, F.when(F.col("__m").isNull(), F.col(text)).otherwise(F.aggregate("__m", F.col(text), put))).drop("__m")
+    joined = rows.join(lists, "__row", "left")
+    return joined.withColumn(text, F.when(F.col("__m").isNull(), F.col(text)).otherwise(F.aggregate("__m", F.col(text), put))).drop("__m", "__row")
 
 
 def restore_all(texts: DataFrame, mappings: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -29,6 +29,12 @@ def test_restore_is_isolated_by_case(spark):
     assert sorted(str(r.text) for r in store.restore_case(texts, known).collect()) == ["Anna «P_bbbbbb»", "None", "«P_aaaaaa»"]
 
 
+def test_originals_with_tokens_are_replaced_in_order(spark):
+    known = mappings(spark, ("a", "«P_aaaaaa»", "x «P_bbbbbb»"), ("a", "«P_bbbbbb»", "y «P_aaaaaa» «P_cccccc»"), ("a", "«P_cccccc»", "z"))
+    texts = spark.createDataFrame([("a", "1 «P_aaaaaa»"), ("a", "2 «P_bbbbbb»")], "case_id string, text string")
+    assert sorted(r.text for r in store.restore_case(texts, known).collect()) == ["1 x y «P_aaaaaa» z", "2 y «P_aaaaaa» z"]
+
+
 def test_restore_all_takes_the_earliest(spark):
     late = datetime.datetime(2025, 1, 1)
     known = mappings(spark, ("b", "«P_aaaaaa»", "Berta", late), ("c", "«P_aaaaaa»", "Anna", AT), ("a", "«P_aaaaaa»", "Zoe", late))
@@ -79,16 +85,25 @@ def test_classes_and_routes(spark):
     assert [(r.content_kind, r.error) for r in got] == [("plain", None), (None, "empty"), ("image", None), ("rich", None), (None, "too_large"), ("image", None)]
 
 
-@pytest.mark.parametrize("strict,text,action", [(False, "nichts hier", "pass"), (False, "mail an a@b.de", "forward"), (False, "siehe «E_abc234» und c@d.de", "reverse"), (False, "siehe «E_zzzzzz» und c@d.de", "forward"), (False, "siehe «E_zzzzzz» allein", "pass"), (True, "siehe «E_abc234» und c@d.de", "strict"), (True, "nichts", "pass")])
-def test_policy(spark, strict, text, action):
-    df = spark.createDataFrame([("k", text)], "k string, text string")
+POLICY = {
+    "nichts hier": ("pass", "pass"),
+    "mail an a@b.de": ("forward", "strict"),
+    "siehe «E_abc234» und c@d.de": ("reverse", "strict"),
+    "siehe «E_zzzzzz» und c@d.de": ("forward", "strict"),
+    "siehe «E_zzzzzz» allein": ("pass", "pass"),
+}
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_policy(spark, strict):
+    df = spark.createDataFrame([(t,) for t in POLICY], "k string").withColumn("text", F.col("k"))
     known = mappings(spark, ("c", "«E_abc234»", "e@f.de"))
-    r = api.smart_transform(df, "k", known, KEY, inputs.Settings(strict_mode=strict)).first()
-    assert r.action == action
-    if action == "reverse":
-        assert r.replacement == "siehe e@f.de und c@d.de" and r.replaced == 1
-    if action == "pass":
-        assert r.replacement is None
+    rows = {r.k: r for r in api.smart_transform(df, "k", known, KEY, inputs.Settings(strict_mode=strict)).collect()}
+    assert {t: r.action for t, r in rows.items()} == {t: actions[strict] for t, actions in POLICY.items()}
+    assert all((r.replacement is None) == (r.action == "pass") for r in rows.values())
+    if not strict:
+        back = rows["siehe «E_abc234» und c@d.de"]
+        assert back.replacement == "siehe e@f.de und c@d.de" and back.replaced == 1
 
 
 def test_watch_policy_prefers_forward(spark):
