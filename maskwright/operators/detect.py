@@ -57,7 +57,10 @@ def _phone(text: Column, s: Column) -> Column:
 
 
 def _word_in(words: tuple[str, ...]) -> Callable[[Column], Column]:
-    return lambda x: F.lower(x).isin(*words)
+    """Membership in a word list, which is one array literal: a call for each word would take seconds to build."""
+    quoted = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+    known = lambda: F.expr(f"array({quoted})") if words else F.array().cast("array<string>")
+    return lambda x: F.array_contains(known(), F.lower(x))
 
 
 def detectors(words: Gazetteer = Gazetteer()) -> list[Detector]:
@@ -88,7 +91,7 @@ PERSONS = 12  # the first detectors, up to surname_first
 
 def _pairs(found: Column, words: Gazetteer) -> Column:
     """Of the surname and first-name spans, in turn, those pairs whose second is a known first name."""
-    known = lambda x: F.lower(x).isin(*words.first_names)
+    known = _word_in(words.first_names)
     return F.filter(found, lambda s, i: known(F.get(found, F.when(i % 2 == 0, i + 1).otherwise(i)).original))
 
 
