@@ -1,12 +1,13 @@
 """Chat formatting of reply trees.
 
 nodes: tree_id, node_id, parent_id (null at a root), role, text, score. Iterative
-self-joins enumerate root-to-leaf paths: in each round a node's path is put behind the
-path of the ancestor it has reached, so paths double in length and a tree of depth d takes
-log2(d) rounds. Only keys and scores are joined; texts come in at the end. Paths are ranked
-in their tree by the sum of scores (ties: smaller leaf first), first within salts and then
-across them, so that no tree's leaves meet in one task unranked. Each of the best `top`
-paths becomes one conversation.
+self-joins find each node's depth and sum of scores: in each round a node is joined to the
+ancestor it has reached, so the steps double and a tree of depth d takes log2(d) rounds.
+Leaves are root-to-leaf paths; they are ranked in their tree by the sum of scores (ties:
+smaller leaf first), first within salts and then across them, so that no tree's leaves
+meet in one task unranked. The tables of the rounds then give the nodes of the best `top`
+paths, and their texts, joined last, become one conversation a path. What is moved is in
+proportion to nodes, rounds and the length of the chosen paths.
 
 The template is START role newline text END newline. Control strings inside a text get a
 backslash behind their first character, and one more if backslashes stand there already;
@@ -51,41 +52,68 @@ def _unescape_role(role: Column) -> Column:
     return F.replace(F.replace(unescape(role), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """One row a leaf: tree_id, leaf, path (node_ids from the root), score."""
+def climbed(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Ancestors by doubling: each node's depth and the sum of scores from its root, and a jump table a round.
+
+    In round k a node that has not reached its root is joined to its ancestor 2 ** k steps
+    up; the table of that round has these ancestors. Nodes that are still climbing after
+    as many rounds as the table allows are in or under a cycle and have no depth.
+    """
     slim = stored(nodes.select("tree_id", "node_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
     # A parent outside the table is no parent.
     found = slim.alias("n").join(slim.alias("p"), (F.col("n.tree_id") == F.col("p.tree_id")) & (F.col("n.parent_id") == F.col("p.node_id")), "left")
-    state = stored(found.select("n.tree_id", "n.node_id", F.col("p.node_id").alias("up"), F.array("n.node_id").alias("path"), "n.score"))
-    while state.filter(F.col("up").isNotNull()).limit(1).count():
-        below, above = state.alias("b"), state.alias("a")
-        joined = below.join(above, (F.col("b.tree_id") == F.col("a.tree_id")) & (F.col("b.up") == F.col("a.node_id")), "left")
-        joined = joined.filter(F.col("b.up").isNull() | F.col("a.node_id").isNotNull()).select(
-            "b.tree_id",
-            "b.node_id",
-            F.col("a.up").alias("up"),
-            F.when(F.col("b.up").isNull(), F.col("b.path")).otherwise(F.concat("a.path", "b.path")).alias("path"),
-            (F.col("b.score") + F.coalesce(F.col("a.score"), F.lit(0.0))).alias("score"),
-        )
-        state = stored(joined.filter(F.col("up").isNull() | ~F.array_contains("path", F.col("up"))))
-    parents = slim.select("tree_id", F.col("parent_id").alias("node_id")).filter(F.col("node_id").isNotNull())
-    return state.join(parents, ["tree_id", "node_id"], "left_anti").select("tree_id", F.col("node_id").alias("leaf"), "path", "score")
-
-
-def ranked(found: DataFrame, top: int) -> DataFrame:
+    steps = F.when(F.col("p.node_id").isNull(), 0).otherwise(1).cast("long").alias("depth")
+    # depth and score: of the nodes from this one up to, without, the ancestor in up.
+    state = stored(found.select("n.tree_id", "n.node_id", F.col("p.node_id").alias("up"), steps, "n.score"))
+    limit, jumps = state.count(), []
+    done, active = state.filter(F.col("up").isNull()), state.filter(F.col("up").isNotNull())
+    while 1 << len(jumps) <= limit and active.limit(1).count():
+        jumps.append(active.select("tree_id", "node_id", "up"))
+        joined = active.alias("b").join(active.union(done).alias("a"), (F.col("b.tree_id") == F.col("a.tree_id")) & (F.col("b.up") == F.col("a.node_id")))
+        state = stored(joined.select("b.tree_id", "b.node_id", F.col("a.up").alias("up"), (F.col("b.depth") + F.col("a.depth")).alias("depth"), (F.col("b.score") + F.col("a.score")).alias("score")))
+        done, active = done.union(state.filter(F.col("up").isNull())), state.filter(F.col("up").isNotNull())
+    return done, jumps
+
+
+def leaves(nodes: DataFrame, state: DataFrame) -> DataFrame:
+    """One row a root-to-leaf path: tree_id, leaf, score."""
+    parents = nodes.select("tree_id", F.col("parent_id").alias("node_id")).filter(F.col("node_id").isNotNull())
+    return state.join(parents, ["tree_id", "node_id"], "left_anti").select("tree_id", F.col("node_id").alias("leaf"), "score")
+
+
+def on_paths(chosen: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """The nodes of the chosen paths: tree_id, rank, node_id.
+
+    From the longest jump to the shortest, every node so far brings in the one that many
+    steps above it, so each ancestor comes in once and no path is ever held in one row.
+    """
+    rows = chosen.select("tree_id", "rank", F.col("leaf").alias("node_id"))
+    for jump in reversed(jumps):
+        above = rows.join(jump, ["tree_id", "node_id"]).select("tree_id", "rank", F.col("up").alias("node_id"))
+        rows = stored(rows.union(above))
+    return rows
+
+
+def ranked(found: DataFrame, top: int | None) -> DataFrame:
+    """The best paths of each tree with their rank; all of them, unranked but for a unique number, if top is None."""
+    if top is None:
+        return found.withColumn("rank", F.monotonically_increasing_id())
     best = [F.col("score").desc(), F.col("leaf")]
     salted = Window.partitionBy("tree_id", F.pmod(F.xxhash64("leaf"), F.lit(SALTS))).orderBy(*best)
     rows = found.withColumn("rank", F.row_number().over(salted)).filter(F.col("rank") <= top)
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("tree_id").orderBy(*best))).filter(F.col("rank") <= top)
 
 
-def conversations(nodes: DataFrame, top: int = 1) -> DataFrame:
-    """One row a chosen path: tree_id, rank, formatted, loss (array of start and length in code points)."""
+def conversations(nodes: DataFrame, top: int | None = 1) -> DataFrame:
+    """One row a chosen path (top=None: all of them): tree_id, rank, formatted, loss (array of start and length in code points)."""
     nodes = nodes.filter(F.col("tree_id").isNotNull() & F.col("node_id").isNotNull())
     first = F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "parent_id", "score"))
     nodes = nodes.groupBy("tree_id", "node_id").agg(first.alias("n")).select("tree_id", "node_id", "n.*")
-    steps = ranked(paths(nodes), top).select("tree_id", "rank", F.posexplode("path").alias("at", "node_id"))
-    turns = steps.join(nodes.select("tree_id", "node_id", "role", "text"), ["tree_id", "node_id"])
+    nodes = stored(nodes)
+    state, jumps = climbed(nodes)
+    steps = on_paths(stored(ranked(leaves(nodes, state), top)), jumps)
+    places = state.select("tree_id", "node_id", F.col("depth").alias("at"))
+    turns = steps.join(places, ["tree_id", "node_id"]).join(nodes.select("tree_id", "node_id", "role", "text"), ["tree_id", "node_id"])
     head = lambda t: F.concat(F.lit(START), _escape_role(t.role), F.lit("\n"))
     parts = lambda turn: F.transform(turn, lambda t: F.struct(head(t).alias("head"), escape(t.text).alias("body"), (t.role == "assistant").alias("learnt")))
     rows = turns.groupBy("tree_id", "rank").agg(F.sort_array(F.collect_list(F.struct("at", "role", "text"))).alias("turns")).select("tree_id", "rank", parts(F.col("turns")).alias("parts"))
