@@ -12,17 +12,17 @@ from __future__ import annotations
 
 import numpy as np
 
-DIM = 16
+DIM = 8
 PAST, NEW = 8, 24
 SYMBOLS, SHARED = 1024, 64
-CLASSES = 64
+CLASSES = 48
 END = 50256
 IDS = 50257
 #: Windows in one matrix product, and in one step of training.
-BATCH = 192
-RATE = 8e-3
+BATCH = 96
+RATE = 2e-2
 #: The layers below the output take a step on every so many batches, the output on each.
-DEEP = 4
+DEEP = 8
 SPAN = PAST + NEW
 CAUSAL = (np.arange(SPAN)[None, :] <= np.arange(NEW)[:, None] + PAST).astype(np.float32)
 SHAPES = {"e": (SYMBOLS, DIM), "p": (SPAN, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, DIM), "c": (DIM, CLASSES), "b": (CLASSES,)}

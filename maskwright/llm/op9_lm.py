@@ -19,6 +19,7 @@ not read.
 
 from __future__ import annotations
 
+import uuid
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -35,7 +36,7 @@ from maskwright.llm import bpe
 from maskwright.llm.common import stored, table
 
 FREQUENT = 100_000
-CACHED = 300_000
+CACHED = 400_000
 #: A word that no text has stands for the end of a text.
 END_WORD = b"\n"
 #: Bytes of text that are handled at once in a task.
@@ -109,6 +110,18 @@ class Table(dict):
         return np.frombuffer(self.ids, np.int32)[at], lengths
 
 
+#: The tables of this Python worker: of the last run that asked for one.
+_KEPT: dict[str, Table] = {}
+
+
+def _table(run: str, path: str, frequent: dict[bytes, float]) -> Table:
+    """The table of a run, kept between the tasks that one Python worker gets."""
+    if run not in _KEPT:
+        _KEPT.clear()
+        _KEPT[run] = Table(path, frequent)
+    return _KEPT[run]
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[list[bytes]]]]:
     """The other columns and the words of documents, a few at a time; text is the last column."""
     rows, words, size = [], [], 0
@@ -139,21 +152,23 @@ def _windows(known: Table, vocabulary: lm.Vocabulary, words: list[list[bytes]])
 
 def _count_ids(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, counts = bpe.encoder(path).encode, np.zeros(lm.IDS, np.int64)
+        encode, counts = bpe.encoder(path).encode, np.zeros(lm.IDS)
         for batch in batches:
-            for word, c in zip(batch.column(0), batch.column(1)):
-                for i in encode(" " + word.as_py().decode()):
-                    counts[i] += c.as_py()
+            own = [encode(" " + word.decode()) for word in batch.column(0).to_pylist()]
+            often = np.repeat(batch.column(1).to_numpy(), [len(x) for x in own])
+            counts += np.bincount(np.fromiter(chain.from_iterable(own), np.int64, len(often)), often, lm.IDS)
         ids = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts[ids])], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts[ids].astype(np.int64))], ["id", "n"])
 
     return run
 
 
 def _train(path: str, counts: np.ndarray) -> Callable:
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_of(path, counts)
-        known, trainer = Table(path, {}), lm.Trainer(lm.initial(vocabulary))
+        known, trainer = _table(key, path, {}), lm.Trainer(lm.initial(vocabulary))
         for _, words in _chunks(batches):
             trainer.show(_windows(known, vocabulary, words)[0])
         if trainer.tokens:
@@ -188,10 +203,11 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, known long, base double,
 
 def _score(path: str, counts: np.ndarray, weights: bytes, frequent: dict[bytes, float], end: tuple[float, int]) -> Callable:
     rest_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, model = vocabulary_of(path, counts), lm.unpacked(weights)
-        known = Table(path, frequent)
+        known = _table(key, path, frequent)
         for rows, words in _chunks(batches):
             windows, places, n_words = _windows(known, vocabulary, words)
             found = np.r_[0.0, np.cumsum(lm.log_probabilities(model, windows))]
