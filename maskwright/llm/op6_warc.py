@@ -81,10 +81,12 @@ def resolve(records: DataFrame) -> DataFrame:
     judged = stored(both.select("v.record_id", "v.key", F.col("v.response_id").alias("response_id"), status.alias("status")))
     own = known.filter(F.col("kind") == "revisit").select("record_id", _named(F.col("headers")).alias("own")).dropDuplicates(["record_id"])
     full = known.filter(F.col("kind") == "response").select(F.col("record_id").alias("source"), _named(F.col("headers")).alias("old"), "payload").dropDuplicates(["source"])
-    wanted = judged.withColumn("source", F.when(F.col("status") == "resolved", F.col("response_id")))
-    rows = wanted.join(own, "record_id").join(full, "source", "left")
-    headers = F.when(F.col("old").isNull(), F.sort_array("own")).otherwise(merged(F.col("old"), F.col("own")))
-    return rows.select("record_id", "key", "response_id", "status", headers.alias("headers"), "payload")
+    rows = judged.join(own, "record_id")
+    # Only what is resolved is joined to its response: the others have no source, and nulls would meet in one task.
+    good = rows.filter(F.col("status") == "resolved").join(full, F.col("response_id") == F.col("source"))
+    good = good.select("record_id", "key", "response_id", "status", merged(F.col("old"), F.col("own")).alias("headers"), "payload")
+    rest = rows.filter(F.col("status") != "resolved").select("record_id", "key", "response_id", "status", F.sort_array("own").alias("headers"), F.lit(None).cast(dict(records.dtypes)["payload"]).alias("payload"))
+    return good.union(rest)
 
 
 def captures(pages: DataFrame) -> DataFrame:
