@@ -152,6 +152,13 @@ def test_gradients():
         assert abs(slope - taken[name]) < 2e-2 * max(0.05, abs(slope)), (name, slope, taken[name])
 
 
+def test_every_batch_trains_every_layer():
+    vocabulary = lm.Vocabulary(np.arange(lm.IDS, 0, -1).astype(float), OPENS)
+    trainer = lm.Trainer(lm.initial(vocabulary))
+    trainer.show(lm.Windows(vocabulary, np.random.default_rng(6).integers(0, 50, 3 * lm.BATCH * lm.NEW), np.array([3 * lm.BATCH * lm.NEW])))
+    assert trainer.batches >= 3 and set(trainer.steps.values()) == {trainer.batches}
+
+
 def test_probabilities_are_causal_and_sum_to_one():
     counts = np.random.default_rng(1).integers(0, 100, lm.IDS).astype(float)
     vocabulary = lm.Vocabulary(counts, OPENS)
