@@ -6,10 +6,12 @@ words of a mention are candidate terms; how strongly a term reveals an entity is
 over the corpus by pointwise mutual information, as a share of the entity's own
 information: log(p(term | entity) / p(term)) / -log p(entity). p(term) and p(entity) are
 shares of all documents; p(term | entity) is the share of the entity's distinct contexts
-that have the term, so copies of one text count once. A term seen with the entity in
-SUPPORT distinct contexts or more whose share reaches DISCLOSURE is a span too, wherever it
-stands in a context of that entity. In the output text a span is generalised to its kind;
-terms with digits become [CODE], other terms are removed as [REDACTED].
+that have the term, so copies of one text count once, shrunk towards p(term) by PRIOR
+contexts drawn from all documents: (together + PRIOR * p(term)) / (contexts + PRIOR). So
+an entity of any number of contexts is judged, one that is seen once by its rarest terms
+only. A term whose share reaches DISCLOSURE is a span too, wherever it stands in a context
+of that entity. In the output text a span is generalised to its kind; terms with digits
+become [CODE], other terms are removed as [REDACTED].
 
 Documents are read twice, by Arrow batches: once for spans and contexts, once for the
 document frequency of the candidate terms. Only small rows are stored or moved. The
@@ -35,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import stored, table
+from maskwright.llm.common import bounded, stored, table
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 LABELS = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[REDACTED]"]
 WINDOW = 8
-SUPPORT = 3
+PRIOR = 10
 DISCLOSURE = 0.5
 TERMS_BROADCAST = 50_000
 
@@ -186,20 +188,21 @@ def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     """entity, term: the terms that reveal an entity beyond DISCLOSURE."""
     near = found.select(F.inline("near")).select("entity", "context", "term").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= SUPPORT)
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("together"))
     pairs = stored(pairs)
     entities = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("contexts"))
     total = docs.count()
     frequency = document_frequency(docs, pairs.select("term").distinct())
     rows = pairs.join(entities, "entity").join(frequency, "term")
-    given, alone, own = F.col("together") / F.col("contexts"), F.least(F.col("documents") / total, F.lit(1.0)), F.col("contexts") / (total + F.col("contexts"))
+    alone, own = F.least(F.col("documents") / total, F.lit(1.0)), F.col("contexts") / (total + F.col("contexts"))
+    given = (F.col("together") + PRIOR * alone) / (F.col("contexts") + PRIOR)
     return rows.filter(F.log2(given / alone) >= DISCLOSURE * -F.log2(own)).select("entity", "term")
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, text_hash, counts, base_sha256 and all (array of start, kind, end, in order)."""
     found = stored(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_found, FOUND))
-    terms = found.select("doc_id", "text_hash", F.inline("near")).join(disclosing(found, docs), ["entity", "term"])
+    terms = found.select("doc_id", "text_hash", F.inline("near")).join(bounded(stored(disclosing(found, docs))), ["entity", "term"])
     more = terms.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end")).alias("more"))
     same = F.col("f.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("f.text_hash") == F.col("m.text_hash"))
     rows = found.drop("near").alias("f").join(stored(more).alias("m"), same, "left")

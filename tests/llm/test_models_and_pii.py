@@ -77,6 +77,27 @@ def test_spans_and_rewriting(spark):
     assert pii.sanitise(empty(spark)).count() == 0 and pii.spans(empty(spark)).count() == 0
 
 
+def test_terms_of_an_entity_seen_once(spark):
+    """Each distinct context counts, down to one; the spans against the formula, by hand."""
+    texts = [f"plain note number {i} about the usual things" for i in range(400)]
+    texts += ["the axolotl note about usual things by one@rare.example", "the narwhal plain note: two@rare.example", "about the narwhal, number two@rare.example"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    contexts = {400: {"axolotl", "the", "note", "about", "usual", "things"}, 401: {"narwhal", "the", "plain", "note"}, 402: {"narwhal", "the", "about", "number"}}
+    n, want = len(texts), {400: set(), 401: set(), 402: set()}
+    for own in ([400], [401, 402]):
+        for i in own:
+            for term in contexts[i]:
+                p = sum(term in re.split("[^a-z]+", t) for t in texts) / n
+                together = sum(term in contexts[j] for j in own)
+                given = (together + pii.PRIOR * p) / (len(own) + pii.PRIOR) if p else 0
+                if p and math.log2(given / p) >= -pii.DISCLOSURE * math.log2(len(own) / (n + len(own))):
+                    want[i].add(term)
+    rows = {r.doc_id: r.all for r in pii.spans(docs).collect()}
+    got = {i: {texts[i][x.start : x.end] for x in rows[i] if x.kind == 4} for i in want}
+    assert got == want and "axolotl" in got[400] and "narwhal" in got[401] & got[402] and "the" not in got[400]
+    assert not any(rows[i] for i in range(400))
+
+
 def test_terms_beyond_the_broadcast(spark, monkeypatch):
     docs = documents(spark, PEOPLE)
     plain = lambda: sorted(str([r.doc_id, r.all]) for r in pii.spans(docs).collect())
