@@ -1,8 +1,10 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences at line ends and after . ; : ! ?. A sentence is normalised
-(lower case, each run of other characters than letters and digits one space) and mapped
-to the identifier of a known licence sentence. The sequence of a document's identifiers,
+A sentence begins at the start of a line or after . ; : ! ? and space, and ends before the
+next such place. It may run over line ends of one paragraph, each of which then counts as
+a space, as do comment marks at the start of a line. A sentence is normalised (lower case,
+each run of other characters than letters and digits one space) and mapped to the
+identifier of a known licence sentence, the longest that begins at a place. The sequence of a document's identifiers,
 in order, is matched against the ordered rules; a rule names a licence if its identifiers
 stand in the sequence one after the other, unknown sentences between them left out, and a
 licence whose rule is a part of a longer matched rule is not named beside it.
@@ -45,6 +47,11 @@ SENTENCES = {
     "cc_by_nc_under": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
     "reserved": ["all rights reserved"],
 }
+#: The whole published sentences of which SENTENCES has the first part.
+WHOLE = {
+    "mit_grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"],
+    "mit_as_is": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
+}
 #: Ordered rules, longest of a licence first.
 RULES = {
     "Apache-2.0": [["apache_under", "apache_use", "apache_copy", "as_is"], ["apache_under", "apache_use", "apache_copy"], ["apache_under"]],
@@ -58,15 +65,23 @@ RULES = {
     "CC-BY-NC-4.0": [["cc_by_nc_under"]],
     "all-rights-reserved": [["reserved"]],
 }
+#: What stands before the first word of a line, comment marks among it.
+MARKS = "(^|\n)[^\\p{L}\\p{N}\n]*(?:(?:rem|dnl)(?![\\p{L}\\p{N}])[^\\p{L}\\p{N}\n]*)?"
 CUES = "licen[cs]e|redistribut|permission|free software|copyright|cc by|warrant|rights reserved"
 
 
 def _identifiers(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    known = F.create_map(*[F.lit(x) for name, texts in SENTENCES.items() for text in texts for x in (text, name)])
-    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^\\p{L}\\p{N}]+", " "))
-    ids = let(known, lambda m: F.transform(F.split(text, "\n|(?<=[.;:!?])\\s+"), lambda s: F.try_element_at(m, plain(s))))
-    return F.when(F.lower(text).rlike(CUES), F.filter(ids, lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    known = {x: name for table in (SENTENCES, WHOLE) for name, texts in table.items() for x in texts}
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    # Ends of sentences and paragraphs become \x01; single line ends stay as they are.
+    plain = F.regexp_replace(F.lower(text), MARKS, "$1")
+    plain = F.regexp_replace(plain, "(?<=[.;:!?])\\s+|\n\n+", "\x01")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(plain, "[^\\p{L}\\p{N}\n\x01]+", " "), " *([\n\x01]) *", "$1"))
+    any_of = "|".join(x.replace(" ", "[ \n]") for x in sorted(known, key=len, reverse=True))
+    found = F.regexp_extract_all(plain, F.lit(f"(?<=^|[\n\x01])({any_of})(?=[\n\x01]|$)"), F.lit(1))
+    ids = let(names, lambda m: F.transform(found, lambda s: F.try_element_at(m, F.translate(s, "\n", " "))))
+    return F.when(F.lower(text).rlike(CUES), ids).otherwise(F.array().cast("array<string>"))
 
 
 def _matched(ids: Column) -> Column:

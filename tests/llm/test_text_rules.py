@@ -127,6 +127,76 @@ def test_licences(spark):
     assert got[100] == ("", "") and li.licences(empty(spark)).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+BSD3 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_wrapped_verbatim_licences(spark):
+    texts = {"MIT": MIT, "GPL-3.0": GPL3, "Apache-2.0": APACHE, "BSD-3-Clause": BSD3}
+    flat = lambda t: "\n\n".join(" ".join(x.split()) for x in t.split("\n\n"))
+    shapes = [lambda t: t, flat, lambda t: t.replace("\n", "\r\n"), *(lambda t, m=m: "".join(f"{m}{x}\n" for x in t.split("\n")) for m in (" * ", "// ", "# ", "; ", "rem ", "dnl ", "-- "))]
+    cases = [(300 + i, "code\n\n" + shape(t) + "\nmore", name) for i, (name, t, shape) in enumerate((n, t, s) for n, t in texts.items() for s in shapes)]
+    got = {r.doc_id: r for r in li.licences(documents(spark, [(i, t, "en") for i, t, _ in cases])).collect()}
+    for i, t, name in cases:
+        assert got[i].licences == name, (name, t, got[i])
+    assert got[300].sentence_ids == "mit_grant,mit_notice,mit_as_is"
+
+
+def test_sentences_end_at_paragraphs_and_words(spark):
+    extra = [(300, "all rights\n\nreserved", "en"), (301, "nearly all rights reserved", "en"), (302, "all\nrights reserved\nfor now", "en"), (303, "all rights reserved for now", "en"), (304, "notice:\n all rights reserved \nfor now", "en")]
+    got = {r.doc_id: r.sentence_ids for r in li.licences(documents(spark, extra)).collect()}
+    assert [got[i] for i in range(300, 305)] == ["", "", "reserved", "", "reserved"]
+
+
 def test_bsd_rules_prefer_the_longer(spark):
     two = " ".join(s[0] + "." for s in (li.SENTENCES["bsd_redistribute"], li.SENTENCES["bsd_source"], li.SENTENCES["bsd_binary"]))
     df = documents(spark, [(400, two, "en"), (401, two + " " + li.SENTENCES["bsd_endorse"][0], "en")])
