@@ -279,11 +279,22 @@ def _extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("smart_action", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'reverse' WHEN regexp_matches(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,24}\\b') THEN 'forward' ELSE 'pass' END AS action FROM conversations WHERE turn % 3 = 0 OR turn % 3 = 1 AND regexp_matches(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,24}\\b')")
 def _smart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third turn gets a known token put before it; of the next ones those with an e-mail address are kept."""
-    token = "«E_abc234»"
-    rows = _table(spark, sf_dir, "conversations").withColumn("key", F.concat_ws("/", "conv_id", "turn"))
+    """Of smart_action_all the turns that its SQL can tell: every third, and of the next ones those with an e-mail address."""
     mail = F.col("text").rlike(V.PATTERNS["email"][0])
-    rows = rows.filter((F.col("turn") % 3 == 0) | ((F.col("turn") % 3 == 1) & mail)).withColumn("text", F.when(F.col("turn") % 3 == 0, F.concat(F.lit(token + " "), F.col("text"))).otherwise(F.col("text")))
+    return _smart_actions(spark, _table(spark, sf_dir, "conversations").filter((F.col("turn") % 3 == 0) | ((F.col("turn") % 3 == 1) & mail)))
+
+
+#: No SQL: whether a text is forwarded depends on all detectors. The tests hold it against known actions.
+@_query("smart_action_all")
+def _smart_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _smart_actions(spark, _table(spark, sf_dir, "conversations"))
+
+
+def _smart_actions(spark: SparkSession, turns: DataFrame) -> DataFrame:
+    """The action on each turn, when every third one has a known token before it."""
+    token = "«E_abc234»"
+    rows = turns.withColumn("key", F.concat_ws("/", "conv_id", "turn"))
+    rows = rows.withColumn("text", F.when(F.col("turn") % 3 == 0, F.concat(F.lit(token + " "), F.col("text"))).otherwise(F.col("text")))
     mappings = spark.createDataFrame([("c", token, "someone@example.com")], "case_id string, token string, original string").withColumn("first_seen", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
     return api.smart_transform(rows, "key", mappings, KEY).select("conv_id", "turn", "action")
 

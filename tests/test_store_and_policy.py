@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskwright.functions import values as V
-from maskwright.plans import api
+from maskwright.plans import api, catalogue
 from maskwright.sources import inputs, store
 
 KEY = b"0" * 32
@@ -106,6 +106,14 @@ def test_policy(spark, strict):
         assert back.replacement == "siehe e@f.de und c@d.de" and back.replaced == 1
 
 
+def test_smart_action_of_every_turn(spark, tmp_path):
+    texts = {"nichts hier": "pass", "mail an a@b.de": "forward", "IBAN DE89 3704 0044 0532 0130 00": "forward", "siehe «E_zzzzzz» allein": "pass", "": "pass"}
+    rows = [(conv, turn, "user", t) for conv, t in enumerate(texts) for turn in range(6)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = [tuple(r) for r in catalogue.queries()["smart_action_all"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted((conv, turn, "reverse" if turn % 3 == 0 else texts[t]) for conv, turn, _, t in rows)
+
+
 def test_watch_policy_prefers_forward(spark):
     known = mappings(spark, ("default", "«E_abc234»", "e@f.de"))
     df = spark.createDataFrame([(1, "«E_abc234» und c@d.de"), (2, "nur «E_abc234»"), (3, "nichts")], "k int, text string")
