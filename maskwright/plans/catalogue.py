@@ -441,7 +441,8 @@ def _changes(events: Column | DataFrame) -> DataFrame:
 
 @_query("stream_dedupe", "SELECT event_id % 400 AS seq, count(*) > 0 AS seen FROM events WHERE user_id <> 1 AND props <> '' GROUP BY 1")
 def _stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The change stream run to its end over the events; a batch of the same rows gives the same result."""
+    """A batch, not a stream: each key once over all events, of 400 keys. A stream drops repeats only within its
+    watermark of 10 minutes, so of these keys it would emit later repeats again."""
     from maskwright.streaming import changes as C
 
     rows = C.accepted(_changes(_table(spark, sf_dir, "events")), [])
@@ -455,6 +456,7 @@ def _change_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("stream_retention", f"WITH l AS ({_LOG}) SELECT epoch_us(time_bucket(INTERVAL 60 MINUTES, first_seen)) AS window_us, count(*) AS mappings FROM l GROUP BY 1")
 def _retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch, not a stream."""
     from maskwright.streaming import changes as C
 
     return C.retained(_log(spark, sf_dir), 60).select(_SEEN("window.start").alias("window_us"), F.col("count").alias("mappings"))
