@@ -1,68 +1,110 @@
 """A small causal self-attention language model in numpy, over subword ids.
 
-One attention layer reads the symbols before a token and gives the distribution over
-classes of ids; the id within its class follows the corpus counts. Ids that open a word
-and ids that go on with one are in classes of their own, each of about the same mass. Texts are cut into
-overlapping windows of PAST + NEW inputs of which the last NEW are scored, so each token
-is scored once, with at least PAST inputs of context where the text has them. All windows
-of a batch go through masked attention at once.
+One attention layer reads the symbols before a token. The output has two levels, both from
+that context: the class of the next symbol, and the symbol within its class. Every id that
+the training documents have is a symbol of its own, with its own embedding and its own
+output; ids that they don't have are one symbol together and share its probability evenly.
+Ids that open a word and ids that go on with one are in classes of their own, each of about
+the same mass, as many classes as the root of the number of symbols.
+
+Texts are cut into overlapping windows of PAST + NEW inputs of which the last NEW are
+scored, so each token is scored once, with at least PAST inputs of context where the text
+has them. All windows of a batch go through masked attention at once. How far back an input
+lies adds a learned bias.
+
+Where others take exp(x), power(x) is used throughout: whole powers of two and straight
+lines between them. It costs a third, and as both levels divide by the sum of its values,
+probabilities add up to one as before.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-DIM = 8
+#: Width of embeddings and values, and of queries and keys.
+DIM, KEY = 16, 8
 PAST, NEW = 8, 24
-SYMBOLS, SHARED = 1024, 64
-CLASSES = 48
 END = 50256
 IDS = 50257
 #: Windows in one matrix product, and in one step of training.
-BATCH = 96
+BATCH = 256
 RATE = 2e-2
 SPAN = PAST + NEW
-CAUSAL = (np.arange(SPAN)[None, :] <= np.arange(NEW)[:, None] + PAST).astype(np.float32)
-SHAPES = {"e": (SYMBOLS, DIM), "p": (SPAN, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, DIM), "c": (DIM, CLASSES), "b": (CLASSES,)}
+#: How far back each input of a window is from each target's own input; negative: not yet seen.
+BACK = np.arange(NEW)[:, None] + PAST - np.arange(SPAN)[None, :]
+_UNIT, _ONE, _LEAST, _MOST = (np.float32(x) for x in (2**23 / np.log(2), 127 * 2**23, 2**23, 2.1e9))
+
+
+def power(x: np.ndarray) -> np.ndarray:
+    """exp(x) with straight lines between whole powers of two; x is used up."""
+    x *= _UNIT
+    x += _ONE
+    np.clip(x, _LEAST, _MOST, out=x)
+    return x.astype(np.int32).view(np.float32)
 
 
 class Vocabulary:
-    """symbol, cls, inner (natural log of the share within the class) of each id, from corpus counts.
+    """Symbols of ids, and their classes, from corpus counts.
 
-    opens: which ids open a word.
+    opens: which ids open a word. symbol: of each id; the symbols of a class follow one
+    another, class k from bounds[k] on. The last two symbols are no targets: unseen as an
+    input of its own kind is, blank stands outside the texts.
     """
 
     def __init__(self, counts: np.ndarray, opens: np.ndarray):
-        mass = counts + 0.5
+        seen = np.flatnonzero(counts > 0)
+        # The unseen ids take part as one, the last, which opens no word.
+        mass = np.r_[counts[seen].astype(np.float64), 0.5]
+        first = np.r_[opens[seen], False]
+        self.size = len(mass)
+        root = self.size**0.5
+        most = max(2, int(4 * root))
+        cls = np.empty(self.size, np.int64)
         order = np.argsort(-mass, kind="stable")
-        self.symbol = np.empty(IDS, np.int32)
-        self.symbol[order] = np.minimum(np.arange(IDS), SYMBOLS - SHARED)
-        rare = order[SYMBOLS - SHARED :]
-        self.symbol[rare] = SYMBOLS - SHARED + rare % SHARED
-        self.cls = np.empty(IDS, np.int32)
-        n_open = int(np.clip(round(CLASSES * mass[opens].sum() / mass.sum()), 1, CLASSES - 1))
-        for own, first, n in ((order[opens[order]], 0, n_open), (order[~opens[order]], n_open, CLASSES - n_open)):
-            before = np.cumsum(mass[own]) - mass[own]
-            self.cls[own] = first + np.minimum((before / mass[own].sum() * n).astype(np.int32), n - 1)
-        self.inner = (np.log(mass) - np.log(np.maximum(np.bincount(self.cls, mass, CLASSES), 0.5))[self.cls]).astype(np.float32)
-        self.start = np.log(np.maximum(np.bincount(self.cls, mass, CLASSES), 0.5) / mass.sum()).astype(np.float32)
+        n = 0
+        for own in (order[first[order]], order[~first[order]]):
+            held, members = 0.0, 0
+            for i in own.tolist():
+                if members and (members >= most or held >= mass.sum() / max(1.0, 0.6 * root)):
+                    held, members, n = 0.0, 0, n + 1
+                cls[i] = n
+                held, members = held + mass[i], members + 1
+            n += members > 0
+        by_class = np.lexsort((np.arange(self.size), -mass, cls))
+        place = np.empty(self.size, np.int32)
+        place[by_class] = np.arange(self.size)
+        self.symbol = np.full(IDS, place[-1], np.int32)
+        self.symbol[seen] = place[:-1]
+        self.unseen, self.blank = int(place[-1]), self.size
+        self.shared = np.float32(np.log(max(1, IDS - len(seen))))
+        self.cls = cls[by_class].astype(np.uint16)
+        self.bounds = np.searchsorted(self.cls, np.arange(n + 1))
+        self.classes = n
+        self.mass = mass[by_class]
+
+
+def shapes(vocabulary: Vocabulary) -> dict[str, tuple[int, ...]]:
+    """e: embeddings (that of blank is never learnt); a: q, k and v side by side; r: bias by distance; c, u: output by class and by symbol, the bias last."""
+    return {"e": (vocabulary.size + 1, DIM), "a": (DIM, 2 * KEY + DIM), "o": (DIM, DIM), "r": (SPAN,), "c": (DIM + 1, vocabulary.classes), "u": (vocabulary.size, DIM + 1)}
 
 
 def initial(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(7)
-    out = {n: (rng.standard_normal(s) * 0.15).astype(np.float32) for n, s in SHAPES.items()}
-    out["b"] = vocabulary.start.copy()
+    out = {n: (rng.standard_normal(s) * 0.15).astype(np.float32) for n, s in shapes(vocabulary).items()}
+    out["r"] = -np.log1p(np.arange(SPAN, dtype=np.float32))
+    mass = np.add.reduceat(vocabulary.mass, vocabulary.bounds[:-1])
+    out["c"][DIM] = np.log(mass / mass.sum())
+    out["u"][:, DIM] = np.log(vocabulary.mass / mass[vocabulary.cls])
     return out
 
 
 def packed(weights: dict[str, np.ndarray]) -> bytes:
-    return np.concatenate([weights[n].ravel() for n in SHAPES]).astype("<f4").tobytes()
+    return np.concatenate([weights[n].ravel() for n in ("e", "a", "o", "r", "c", "u")]).astype("<f4").tobytes()
 
 
-def unpacked(data: bytes | np.ndarray) -> dict[str, np.ndarray]:
-    flat = np.frombuffer(data, "<f4") if isinstance(data, bytes) else data
-    out, at = {}, 0
-    for n, s in SHAPES.items():
+def unpacked(data: bytes, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
+    flat, out, at = np.frombuffer(data, "<f4"), {}, 0
+    for n, s in shapes(vocabulary).items():
         size = int(np.prod(s))
         out[n] = flat[at : at + size].reshape(s).astype(np.float32)
         at += size
@@ -70,130 +112,208 @@ def unpacked(data: bytes | np.ndarray) -> dict[str, np.ndarray]:
 
 
 class Windows:
-    """The windows of texts laid end to end: ids, and how many each text has."""
+    """The windows of texts: ids of the texts end to end, and how many each text has. An end behind each text is predicted too."""
 
     def __init__(self, vocabulary: Vocabulary, ids: np.ndarray, lengths: np.ndarray):
-        n = len(lengths)
-        steps = lengths + 1  # an end behind each text is predicted too
-        starts = np.cumsum(steps) - steps
-        at = np.arange(len(ids)) + np.repeat(np.arange(n), lengths)
-        self.targets = np.full(int(steps.sum()), END, np.int32)
-        self.targets[at] = ids
-        inputs = np.full(len(self.targets), END, np.int32)
-        inputs[at + 1] = ids
-        self.symbols = vocabulary.symbol[inputs]
-        self.blank = int(vocabulary.symbol[END])
+        steps = np.asarray(lengths, np.int64) + 1
         count = -(-steps // NEW)
-        text = np.repeat(np.arange(n), count)
-        self.first = starts[text]
-        self.stop = self.first + steps[text]
-        self.base = self.first + (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * NEW
-        self.starts, self.vocabulary = starts, vocabulary
+        self.vocabulary, self.steps = vocabulary, steps
+        #: Of each text the first window, and the first place in a table of NEW places a window.
+        self.opening = np.cumsum(count) - count
+        self.starts = self.opening * NEW
+        n = int(count.sum())
+        at = np.arange(len(ids)) + np.repeat(self.starts - (np.cumsum(lengths) - lengths), lengths)
+        symbols, end = vocabulary.symbol[ids], vocabulary.symbol[END]
+        stream = np.full(PAST + n * NEW, vocabulary.blank, np.int32)
+        stream[PAST + self.starts] = end
+        stream[PAST + 1 + at] = symbols
+        self.targets = np.full(n * NEW, vocabulary.blank, np.int32)
+        self.targets[at] = symbols
+        self.targets[self.starts + steps - 1] = end
+        self.rows = np.lib.stride_tricks.sliding_window_view(stream, SPAN)[::NEW] if n else stream[:0].reshape(0, SPAN)
+        self.first = np.zeros(n, bool)
+        self.first[self.opening] = True
 
     def batches(self):
-        """symbols (B, SPAN), which of them are outside the text, positions of the targets (B, NEW), which of them count."""
-        for a in range(0, len(self.base), BATCH):
-            base, first, stop = (x[a : a + BATCH, None] for x in (self.base, self.first, self.stop))
-            at = base + np.arange(-PAST, NEW)
-            outside = (at < first) | (at >= stop)
-            symbols = np.where(outside, self.blank, self.symbols[np.minimum(np.maximum(at, 0), len(self.symbols) - 1)])
-            yield symbols, outside, np.minimum(at[:, PAST:], len(self.targets) - 1), ~outside[:, PAST:]
-
-
-def forward(w: dict[str, np.ndarray], symbols: np.ndarray, outside: np.ndarray) -> dict[str, np.ndarray]:
-    n = len(symbols)
-    x = np.take(w["e"], symbols, axis=0)
-    x += w["p"]
-    own = np.ascontiguousarray(x[:, PAST:])
-    q = np.ones((n, NEW, DIM + 1), np.float32)
-    k = np.empty((n, SPAN, DIM + 1), np.float32)
-    q[..., :DIM] = (own.reshape(-1, DIM) @ w["q"]).reshape(n, NEW, DIM) * DIM**-0.5
-    k[..., :DIM] = (x.reshape(-1, DIM) @ w["k"]).reshape(n, SPAN, DIM)
-    k[..., DIM] = outside * np.float32(-30)  # the mask of what is outside the text rides along in the product
-    v = (x.reshape(-1, DIM) @ w["v"]).reshape(n, SPAN, DIM)
-    a = q @ k.transpose(0, 2, 1)
-    np.minimum(a, 30, out=a)
-    np.exp(a, out=a)
-    a *= CAUSAL
-    z = a.sum(axis=2, keepdims=True)
-    z += 1e-20
-    o = (a @ v) / z
-    h = np.tanh(own.reshape(-1, DIM) + o.reshape(-1, DIM) @ w["o"])
-    logits = h @ w["c"]
-    logits += w["b"]
-    return {"x": x, "own": own, "q": q, "k": k, "v": v, "a": a, "z": z, "o": o, "h": h, "logits": logits}
-
-
-def log_probabilities(w: dict[str, np.ndarray], windows: Windows) -> np.ndarray:
-    """Natural log of the probability of each target."""
-    out = np.zeros(len(windows.targets), np.float64)
-    voc = windows.vocabulary
-    for symbols, outside, at, counts in windows.batches():
-        logits = forward(w, symbols, outside)["logits"]
-        ids = windows.targets[at].ravel()
-        own = logits[np.arange(len(ids)), voc.cls[ids]]
-        np.minimum(logits, 60, out=logits)
-        found = own - np.log(np.exp(logits).sum(axis=1)) + voc.inner[ids]
-        use = counts.ravel()
-        out[at.ravel()[use]] = found[use]
+        """symbols (B, SPAN) and targets (B * NEW), blank where a window goes beyond its text."""
+        for a in range(0, len(self.rows), BATCH):
+            symbols = self.rows[a : a + BATCH].copy()
+            symbols[self.first[a : a + BATCH], :PAST] = self.vocabulary.blank
+            yield symbols, self.targets[a * NEW : (a + len(symbols)) * NEW]
+
+
+class Network:
+    """The weights in the layout of the products: mask, sum of attention and biases ride along as columns."""
+
+    def __init__(self, w: dict[str, np.ndarray], vocabulary: Vocabulary):
+        self.w, self.vocabulary = w, vocabulary
+        n, d = vocabulary.size + 1, DIM
+        # An input is its embedding, a 1, and whether it is blank.
+        self.e = np.zeros((n, d + 2), np.float32)
+        self.e[:, d] = 1
+        self.e[vocabulary.blank, d + 1] = 1
+        self.a = np.zeros((d + 2, 2 * (KEY + 1) + d + 1), np.float32)
+        self.a[d, KEY] = self.a[d, -1] = 1  # q: times the mask; v: adds up attention
+        self.a[d + 1, 2 * KEY + 1] = -30  # k: the mask
+        self.refresh()
+
+    def refresh(self) -> None:
+        d = DIM
+        self.e[:, :d] = self.w["e"]
+        for at in (0, 1, 2):  # q, k, v
+            self.a[:d, at * (KEY + 1) : -1 if at == 2 else at * (KEY + 1) + KEY] = self.w["a"][:, at * KEY : None if at == 2 else (at + 1) * KEY]
+        self.bias = np.where(BACK >= 0, np.exp(np.minimum(self.w["r"], 30)[np.maximum(BACK, 0)]), 0).astype(np.float32)
+
+    def hidden(self, symbols: np.ndarray) -> dict[str, np.ndarray]:
+        n, d = len(symbols), DIM
+        x = np.take(self.e, symbols, axis=0)
+        all_ = (x.reshape(-1, d + 2) @ self.a).reshape(n, SPAN, -1)
+        q, k, v = all_[:, PAST:, : KEY + 1], all_[:, :, KEY + 1 : 2 * KEY + 2], all_[:, :, 2 * KEY + 2 :]
+        a = power(q @ k.transpose(0, 2, 1))
+        a *= self.bias
+        o = (a @ v).reshape(-1, d + 1)
+        z = o[:, d:] + np.float32(1e-20)
+        o = o[:, :d] / z
+        h = np.ones((len(o), d + 1), np.float32)
+        u = o @ self.w["o"]
+        u += x[:, PAST:, :d].reshape(-1, d)
+        np.divide(u, np.abs(u) + 1, out=h[:, :d])
+        return {"x": x, "q": q, "k": k, "v": v, "a": a, "z": z, "o": o, "h": h}
+
+
+_SUM: dict[int, np.ndarray] = {}
+
+
+def _row_sums(p: np.ndarray) -> np.ndarray:
+    """As a product, which is faster than a sum along rows."""
+    return p @ _SUM.setdefault(p.shape[1], np.ones(p.shape[1], np.float32))
+
+
+class Inner:
+    """The second level for targets, none of them blank and sorted by class: values of the symbols in the class of each, end to end."""
+
+    def __init__(self, u: np.ndarray, h: np.ndarray, targets: np.ndarray, cls: np.ndarray, vocabulary: Vocabulary):
+        members, each = np.diff(vocabulary.bounds), np.bincount(cls, minlength=vocabulary.classes)
+        self.widths = np.repeat(members, each)
+        ends = np.cumsum(self.widths)
+        self.starts = ends - self.widths
+        values = np.zeros(int(ends[-1]) if len(ends) else 0, np.float32)
+        #: Of each class that is there and has several symbols: its rows, its symbols, where its values are, their shape.
+        self.parts = []
+        row = at = 0
+        for k in np.flatnonzero(each).tolist():
+            n, m = int(each[k]), int(members[k])
+            if m > 1:
+                symbols, out = slice(int(vocabulary.bounds[k]), int(vocabulary.bounds[k + 1])), slice(at, at + n * m)
+                self.parts.append((slice(row, row + n), symbols, out, (n, m)))
+                np.matmul(h[row : row + n], u[symbols].T, out=values[out].reshape(n, m))
+            row, at = row + n, at + n * m
+        self.values = power(values)
+        self.own = self.starts + (targets - vocabulary.bounds[cls])
+        self.sums = np.add.reduceat(self.values, self.starts) if len(self.starts) else self.values
+
+
+def _by_class(targets: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    """The places of targets that are not blank, sorted by class."""
+    use = np.flatnonzero(targets != vocabulary.blank)
+    return use[np.argsort(vocabulary.cls[targets[use]], kind="stable")]
+
+
+def log_probabilities(net: Network, windows: Windows) -> np.ndarray:
+    """Natural log of the probability of each place of windows.targets, 0 where it is blank."""
+    voc, out = windows.vocabulary, np.zeros(len(windows.targets), np.float64)
+    at = 0
+    for symbols, targets in windows.batches():
+        use = _by_class(targets, voc)
+        h, own = np.take(net.hidden(symbols)["h"], use, axis=0), targets[use]
+        cls = voc.cls[own]
+        p = power(h @ net.w["c"])
+        inner = Inner(net.w["u"], h, own, cls, voc)
+        share = p[np.arange(len(own)), cls] / _row_sums(p) * (inner.values[inner.own] / inner.sums)
+        out[at + use] = np.log(np.maximum(share, np.float32(1e-37))) - np.where(own == voc.unseen, voc.shared, np.float32(0))
+        at += len(targets)
     return out
 
 
 class Trainer:
-    """Adam over all windows of the texts it is shown, one pass."""
+    """Adam over all windows of the texts it is shown, one pass; embeddings that a batch doesn't have stay as they are."""
 
-    def __init__(self, weights: dict[str, np.ndarray]):
-        self.w = {n: x.copy() for n, x in weights.items()}
+    def __init__(self, weights: dict[str, np.ndarray], vocabulary: Vocabulary):
+        self.net = Network({n: x.copy() for n, x in weights.items()}, vocabulary)
+        self.w = self.net.w
         self.m = {n: np.zeros_like(x) for n, x in self.w.items()}
         self.s = {n: np.zeros_like(x) for n, x in self.w.items()}
-        self.steps, self.tokens = dict.fromkeys(self.w, 0), 0
-        self.batches = 0
+        self.steps = self.tokens = 0
 
     def show(self, windows: Windows) -> None:
-        for symbols, outside, at, counts in windows.batches():
-            self.step(windows.vocabulary.cls[windows.targets[at]], symbols, outside, counts)
-
-    def step(self, classes: np.ndarray, symbols: np.ndarray, outside: np.ndarray, counts: np.ndarray) -> None:
-        w, n = self.w, len(symbols)
-        f = forward(w, symbols, outside)
-        use = counts.ravel()[:, None] / max(1, counts.sum())
-        p = f["logits"]
-        np.minimum(p, 60, out=p)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(p)), classes.ravel()] -= 1
-        p *= use.astype(np.float32)
-        g = {"c": f["h"].T @ p, "b": p.sum(axis=0)}
-        self.tokens += int(counts.sum())
-        self.batches += 1
-        self.below(g, p, f, symbols, n)
+        for symbols, targets in windows.batches():
+            self.step(symbols, targets)
+
+    def step(self, symbols: np.ndarray, targets: np.ndarray) -> None:
+        w, d, voc = self.w, DIM, self.net.vocabulary
+        f = self.net.hidden(symbols)
+        use = _by_class(targets, voc)
+        h, own = np.take(f["h"], use, axis=0), targets[use]
+        cls, n, each = voc.cls[own], len(own), np.float32(1 / len(own))
+        # Both levels of the output.
+        p = power(h @ w["c"])
+        p *= (each / _row_sums(p))[:, None]
+        p[np.arange(n), cls] -= each
+        second = Inner(w["u"], h, own, cls, voc)
+        values = second.values
+        values *= np.repeat(each / second.sums, second.widths)
+        values[second.own] -= each
+        g = {"c": h.T @ p, "u": np.zeros_like(w["u"])}
+        dh = p @ w["c"][:d].T
+        for rows, of, where, shape in second.parts:
+            inner = values[where].reshape(shape)
+            g["u"][of] = inner.T @ h[rows]
+            dh[rows] += inner @ w["u"][of, :d]
+        slope = np.abs(h[:, :d])
+        np.subtract(1, slope, out=slope)
+        slope *= slope
+        dh *= slope
+        du = np.zeros((len(targets), d), np.float32)
+        du[use] = dh
+        # Attention.
+        o, many = f["o"], len(symbols)
+        g["o"] = o.T @ du
+        do = du @ w["o"].T
+        share = f["a"].reshape(len(o), SPAN)
+        share /= f["z"]
+        do3, share3 = do.reshape(many, NEW, d), share.reshape(many, NEW, SPAN)
+        ds = do3 @ f["v"][:, :, :d].transpose(0, 2, 1)
+        ds -= (do * o).sum(axis=1).reshape(many, NEW, 1)
+        ds *= share3
+        g["r"] = np.bincount(np.maximum(BACK, 0).ravel(), (ds.sum(axis=0) * (BACK >= 0)).ravel(), SPAN).astype(np.float32)
+        dall = np.zeros((many, SPAN, 2 * KEY + d), np.float32)
+        dall[:, PAST:, :KEY] = ds @ f["k"][:, :, :KEY]
+        dall[:, :, KEY : 2 * KEY] = ds.transpose(0, 2, 1) @ f["q"][:, :, :KEY]
+        dall[:, :, 2 * KEY :] = share3.transpose(0, 2, 1) @ do3
+        flat = dall.reshape(-1, 2 * KEY + d)
+        g["a"] = f["x"].reshape(-1, d + 2)[:, :d].T @ flat
+        dx = (flat @ w["a"].T).reshape(many, SPAN, d)
+        dx[:, PAST:] += du.reshape(many, NEW, d)
+        marks = symbols.ravel()
+        by = np.argsort(marks.astype(np.uint16 if voc.size < 1 << 16 else np.int32), kind="stable")
+        marks = marks[by]
+        first = np.flatnonzero(np.r_[True, marks[1:] != marks[:-1]])
+        touched = marks[first]
+        if touched[-1] == voc.blank:
+            touched, sums = touched[:-1], np.add.reduceat(dx.reshape(-1, d)[by], first, axis=0)[:-1]
+        else:
+            sums = np.add.reduceat(dx.reshape(-1, d)[by], first, axis=0)
+        self.tokens += n
+        self.steps += 1
+        rate = np.float32(RATE * np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps))
         for name, own in g.items():
-            self.steps[name] += 1
-            rate = RATE * np.sqrt(1 - 0.999 ** self.steps[name]) / (1 - 0.9 ** self.steps[name])
-            m, v = self.m[name], self.s[name]
-            m += 0.1 * (own - m)
-            v += 0.001 * (own**2 - v)
-            w[name] -= (rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
-
-    def below(self, g: dict[str, np.ndarray], p: np.ndarray, f: dict[str, np.ndarray], symbols: np.ndarray, n: int) -> None:
-        """Adds the gradients of all but the output to g."""
-        w = self.w
-        du = (p @ w["c"].T) * (1 - f["h"] ** 2)
-        flat_o = f["o"].reshape(-1, DIM)
-        g["o"] = flat_o.T @ du
-        do = (du @ w["o"].T).reshape(n, NEW, DIM)
-        share = f["a"] / f["z"]
-        dv = share.transpose(0, 2, 1) @ do
-        ds = do @ f["v"].transpose(0, 2, 1)
-        ds -= (ds * share).sum(axis=2, keepdims=True)
-        ds *= share
-        dq = (ds @ f["k"][..., :DIM]).reshape(-1, DIM) * DIM**-0.5
-        dk = (ds.transpose(0, 2, 1) @ f["q"][..., :DIM]).reshape(-1, DIM)  # q holds the scale already
-        dv = dv.reshape(-1, DIM)
-        flat_x, flat_own = f["x"].reshape(-1, DIM), f["own"].reshape(-1, DIM)
-        g["q"], g["k"], g["v"] = flat_own.T @ dq, flat_x.T @ dk, flat_x.T @ dv
-        dx = (dk @ w["k"].T + dv @ w["v"].T).reshape(n, SPAN, DIM)
-        dx[:, PAST:] += (du + dq @ w["q"].T).reshape(n, NEW, DIM)
-        g["p"] = dx.sum(axis=0)
-        flat, marks = dx.reshape(-1, DIM), symbols.ravel()
-        g["e"] = np.stack([np.bincount(marks, flat[:, j], SYMBOLS) for j in range(DIM)], axis=1).astype(np.float32)
+            m, s = self.m[name], self.s[name]
+            m += np.float32(0.1) * (own - m)
+            s += np.float32(0.001) * (own * own - s)
+            w[name] -= rate * m / (np.sqrt(s) + np.float32(1e-8))
+        m, s = self.m["e"][touched], self.s["e"][touched]
+        m += np.float32(0.1) * (sums - m)
+        s += np.float32(0.001) * (sums * sums - s)
+        self.m["e"][touched], self.s["e"][touched] = m, s
+        w["e"][touched] -= rate * m / (np.sqrt(s) + np.float32(1e-8))
+        self.net.refresh()

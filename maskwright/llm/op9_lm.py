@@ -1,15 +1,20 @@
 """Language-model scores of whole documents, learnt from the training documents.
 
 Base: unigrams over words, with counts over all training documents. Model: causal
-self-attention over subword ids (attention_lm). What is learnt covers every training
-document whole: word counts, from them the counts of subword ids, and the weights, which
-each task trains by one pass over its documents from the same start; the weights are then
-averaged by tokens, in a tree of tables.
+self-attention over subword ids (attention_lm). Every training document is learnt from
+whole, in every layer, once.
 
-Counts of at most FREQUENT words go to the scoring tasks; the other words of each document
-are joined with the counts by word, so nothing that is broadcast grows with the corpus:
-FREQUENT words, a count for each subword id, and one set of weights. Tables of words in a
-task are emptied at CACHED entries.
+1. One pass over the texts makes the subword ids of each document, with marks where words
+   begin, and counts words and ids. A word is known by a 64-bit hash of its ids from here on.
+2. The training documents are dealt to shards by a hash of doc_id and text, about SHARD
+   tokens each, MAX_SHARDS at most, and each shard is trained on from the same start in the
+   order of that hash. The weights are averaged by tokens, in a tree of tables. Shards follow
+   from the rows alone, so partitions and tasks don't change a score.
+3. One pass over the ids gives the model's score and the base of the FREQUENT words at most
+   whose counts go to all tasks; the other words are joined with the counts by their hash.
+
+Nothing that is broadcast grows with the corpus: FREQUENT words, a count for each subword
+id, and one set of weights. Tables of words in a task are emptied at CACHED entries.
 
 Defined cases: null text is the empty text, which has the end token only; rows with a null
 doc_id are training documents; repeated rows are scored each and count each; without
@@ -21,13 +26,11 @@ from __future__ import annotations
 
 import uuid
 from array import array
-from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,11 +40,14 @@ from maskwright.llm.common import stored, table
 
 FREQUENT = 100_000
 CACHED = 400_000
-#: A word that no text has stands for the end of a text.
-END_WORD = b"\n"
-#: Bytes of text that are handled at once in a task.
+SHARD = 4_000_000
+MAX_SHARDS = 4096
+#: Bytes of text, and subword ids, that are handled at once in a task.
 CHUNK = 1 << 19
-FAN = 64
+TRAINED = 1 << 18
+FAN = 16
+_FACTORS = np.random.default_rng(17).integers(0, 1 << 63, lm.IDS, np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -53,52 +59,38 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-def _emitted(seen: Counter) -> Iterator[pa.RecordBatch]:
-    names = list(seen)
-    for a in range(0, len(names), 50_000):
-        part = names[a : a + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([seen[x] for x in part], pa.int64())], ["word", "n"])
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
-    for batch in batches:
-        for x in batch.column(0):
-            seen.update(words_of(x.as_py()))
-            if len(seen) >= CACHED:
-                yield from _emitted(seen)
-                seen.clear()
-        seen[END_WORD] += batch.num_rows
-    yield from _emitted(seen)
-
+def word_hashes(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the ids of each word; starts: where the words begin in ids."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    at = np.arange(len(ids)) - np.repeat(starts, np.diff(np.r_[starts, len(ids)]))
+    weights = np.multiply.accumulate(np.r_[np.uint64(1), np.full(int(at.max()), _STEP)])
+    out = np.add.reduceat(_FACTORS[ids] * weights[at], starts)
+    out ^= out >> np.uint64(32)
+    out *= _STEP
+    return (out ^ (out >> np.uint64(29))).view(np.int64)
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word (binary), c: counts over the documents, the end of each counted as a word."""
-    parts = docs.select(F.col("text").cast("binary")).mapInArrow(_count_words, "word binary, n long")
-    return parts.groupBy("word").agg(F.sum("n").alias("c"))
 
-
-def vocabulary_of(path: str, counts: np.ndarray) -> lm.Vocabulary:
-    return lm.Vocabulary(counts, bpe.encoder(path).opens(lm.IDS))
+#: The end of a text counts as a word. No other word has this id.
+END_HASH = int(word_hashes(np.array([lm.END]), np.array([0]))[0])
 
 
 class Table(dict):
-    """word -> its place; for each place the subword ids and the base log10 (nan: not a frequent word)."""
+    """word -> its place; for each place the subword ids."""
 
-    def __init__(self, path: str, frequent: dict[bytes, float]):
-        self.encode, self.frequent = bpe.encoder(path).encode, frequent
+    def __init__(self, path: str):
+        self.encode = bpe.encoder(path).encode
         self.reset()
 
     def reset(self) -> None:
         self.clear()
-        self.ids, self.starts, self.lengths, self.base = array("i"), array("i"), array("i"), array("d")
+        self.ids, self.starts, self.lengths = array("i"), array("i"), array("i")
 
     def __missing__(self, word: bytes) -> int:
         ids = self.encode(" " + word.decode())
         self.starts.append(len(self.ids))
         self.lengths.append(len(ids))
         self.ids.extend(ids)
-        self.base.append(self.frequent.get(word, float("nan")))
         self[word] = len(self)
         return len(self) - 1
 
@@ -109,16 +101,18 @@ class Table(dict):
         at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
         return np.frombuffer(self.ids, np.int32)[at], lengths
 
+    def hashes(self) -> np.ndarray:
+        return word_hashes(np.frombuffer(self.ids, np.int32).copy(), np.frombuffer(self.starts, np.int32).copy()) if self else np.zeros(0, np.int64)
+
 
-#: The tables of this Python worker: of the last run that asked for one.
-_KEPT: dict[str, Table] = {}
+#: What this Python worker keeps for the tasks it gets: of the last run that asked for it.
+_KEPT: dict[str, object] = {}
 
 
-def _table(run: str, path: str, frequent: dict[bytes, float]) -> Table:
-    """The table of a run, kept between the tasks that one Python worker gets."""
+def _kept(run: str, make: Callable) -> object:
     if run not in _KEPT:
         _KEPT.clear()
-        _KEPT[run] = Table(path, frequent)
+        _KEPT[run] = make()
     return _KEPT[run]
 
 
@@ -139,91 +133,154 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], li
         yield rows, words
 
 
-def _windows(known: Table, vocabulary: lm.Vocabulary, words: list[list[bytes]]) -> tuple[lm.Windows, np.ndarray, np.ndarray]:
-    """Windows of the documents, places of all their words, and how many words each document has."""
-    if len(known) >= CACHED:
-        known.reset()
-    n_words = np.array([len(w) for w in words])
-    places = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, int(n_words.sum()))
-    ids, lengths = known.subwords(places)
-    ends = np.r_[0, np.cumsum(lengths)][np.cumsum(n_words)]
-    return lm.Windows(vocabulary, ids, np.diff(np.r_[0, ends])), places, n_words
+#: Documents (row to opens: the ids as unsigned 16-bit numbers, and a bit for each that begins a word), counts of words, counts of ids.
+READ = "row long, doc_id long, held_out boolean, mark long, ids binary, opens binary, word long, id long, n long"
+_READ_TYPES = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+_READ_FIELDS = [(x.split()[0], _READ_TYPES[x.split()[1]]) for x in READ.split(", ")]
+
 
+def _rows(size: int, **columns) -> pa.RecordBatch:
+    """A batch of READ with these columns, the others null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[name], kind) if name in columns else pa.nulls(size, kind) for name, kind in _READ_FIELDS], [name for name, _ in _READ_FIELDS])
+
+
+def _read(path: str) -> Callable:
+    key = uuid.uuid4().hex
+
+    def counted(names: np.ndarray, counts: np.ndarray, kind: str) -> Iterator[pa.RecordBatch]:
+        there = np.flatnonzero(counts)
+        for a in range(0, len(there), 50_000):
+            part = there[a : a + 50_000]
+            yield _rows(len(part), **{kind: names[part], "n": counts[part]})
 
-def _count_ids(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, counts = bpe.encoder(path).encode, np.zeros(lm.IDS)
-        for batch in batches:
-            own = [encode(" " + word.decode()) for word in batch.column(0).to_pylist()]
-            often = np.repeat(batch.column(1).to_numpy(), [len(x) for x in own])
-            counts += np.bincount(np.fromiter(chain.from_iterable(own), np.int64, len(often)), often, lm.IDS)
-        ids = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts[ids].astype(np.int64))], ["id", "n"])
+        known = _kept(key, lambda: Table(path))
+        words_seen, ids_seen = np.zeros(0, np.int64), np.zeros(lm.IDS, np.int64)
+        for rows, words in _chunks(batches):
+            if len(known) >= CACHED:
+                yield from counted(known.hashes(), words_seen, "word")
+                known.reset()
+                words_seen = np.zeros(0, np.int64)
+            n_words = np.array([len(w) for w in words])
+            places = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, int(n_words.sum()))
+            ids, lengths = known.subwords(places)
+            train = ~np.array([r[2] for r in rows])
+            seen = np.bincount(places[np.repeat(train, n_words)], minlength=len(known))
+            seen[: len(words_seen)] += words_seen
+            words_seen = seen
+            stops = np.r_[0, np.cumsum(lengths)][np.cumsum(n_words)]
+            starts = np.r_[0, stops[:-1]]
+            ids_seen += np.bincount(ids[np.repeat(train, stops - starts)], minlength=lm.IDS)
+            ids_seen[lm.END] += int(train.sum())
+            opens = np.zeros(len(ids), bool)
+            opens[np.cumsum(lengths) - lengths] = True
+            data = ids.astype("<u2").tobytes()
+            columns = dict(zip(("row", "doc_id", "held_out", "mark"), zip(*rows)))
+            yield _rows(len(rows), **columns, ids=[data[2 * a : 2 * b] for a, b in zip(starts, stops)], opens=[np.packbits(opens[a:b]).tobytes() for a, b in zip(starts, stops)])
+        yield from counted(known.hashes()[: len(words_seen)], words_seen, "word")
+        yield from counted(np.arange(lm.IDS), ids_seen, "id")
 
     return run
 
 
-def _train(path: str, counts: np.ndarray) -> Callable:
-    key = uuid.uuid4().hex
+def read(docs: DataFrame, path: str) -> DataFrame:
+    """docs: doc_id, held_out, text -> a stored table of READ."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", F.xxhash64("doc_id", "text").alias("mark"), F.col("text").cast("binary"))
+    return stored(rows.mapInArrow(_read(path), READ))
+
+
+def _vocabulary(path: str, counts: np.ndarray) -> lm.Vocabulary:
+    return lm.Vocabulary(counts, bpe.encoder(path).opens(lm.IDS))
+
+
+def _parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray]]:
+    """The other columns, ids end to end and their numbers, of documents whose ids are the last column, about most ids at a time."""
 
+    def joined() -> tuple[list[tuple], np.ndarray, np.ndarray]:
+        return rows, np.frombuffer(b"".join(data), "<u2").astype(np.int32), np.array([len(x) // 2 for x in data], np.int64)
+
+    rows, data, size = [], [], 0
+    for batch in batches:
+        others = [c.to_pylist() for c in batch.columns[:-1]]
+        for i, x in enumerate(batch.columns[-1]):
+            rows.append(tuple(c[i] for c in others))
+            data.append(x.as_py())
+            size += len(data[-1]) // 2 + 1
+            if size >= most:
+                yield joined()
+                rows, data, size = [], [], 0
+    if rows:
+        yield joined()
+
+
+WEIGHTS = "part long, tokens long, weights binary"
+
+
+def _weights(part: int, tokens: int, weights: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([tokens], pa.int64()), pa.array([weights], pa.binary())], ["part", "tokens", "weights"])
+
+
+def _train(path: str, counts: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = vocabulary_of(path, counts)
-        known, trainer = _table(key, path, {}), lm.Trainer(lm.initial(vocabulary))
-        for _, words in _chunks(batches):
-            trainer.show(_windows(known, vocabulary, words)[0])
+        vocabulary = _vocabulary(path, counts)
+        trainer, part = lm.Trainer(lm.initial(vocabulary), vocabulary), None
+        for rows, ids, lengths in _parts(batches, TRAINED):
+            part = rows[0][0]
+            trainer.show(lm.Windows(vocabulary, ids, lengths))
         if trainer.tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([trainer.tokens], pa.int64()), pa.array([lm.packed(trainer.w)], pa.binary())], ["part", "tokens", "weights"])
+            yield _weights(part, trainer.tokens, lm.packed(trainer.w))
 
     return run
 
 
-def _mean(tokens: list[int], weights: list[bytes]) -> tuple[int, bytes]:
-    total = sum(tokens)
-    return total, sum(np.frombuffer(x, "<f4").astype(np.float64) * (n / total) for n, x in zip(tokens, weights)).astype("<f4").tobytes()
-
-
 def _averaged(rows: pa.Table) -> pa.Table:
     rows = rows.sort_by("part")
-    total, mean = _mean(rows.column("tokens").to_pylist(), rows.column("weights").to_pylist())
-    return pa.table({"part": pa.array([rows.column("part")[0].as_py()], pa.int64()), "tokens": pa.array([total], pa.int64()), "weights": pa.array([mean], pa.binary())})
+    tokens, total = rows.column("tokens").to_pylist(), sum(rows.column("tokens").to_pylist())
+    mean = sum(np.frombuffer(x.as_py(), "<f4").astype(np.float64) * (n / total) for n, x in zip(tokens, rows.column("weights")))
+    return pa.Table.from_batches([_weights(rows.column("part")[0].as_py(), total, mean.astype("<f4").tobytes())])
 
 
-def trained(docs: DataFrame, path: str, counts: np.ndarray) -> bytes:
-    """Weights averaged over the tasks, FAN at a time; at most FAN rows come to the driver."""
-    kind = "part long, tokens long, weights binary"
-    state = stored(docs.select(F.col("text").cast("binary")).mapInArrow(_train(path, counts), kind))
-    while state.count() > FAN:
-        state = stored(state.groupBy(F.expr(f"part div {FAN}").alias("g")).applyInArrow(lambda rows: _averaged(rows.drop_columns(["g"])), kind).withColumn("part", F.expr(f"part div {FAN}")))
-    rows = sorted(state.collect(), key=lambda r: r.part)
-    return _mean([r.tokens for r in rows], [bytes(r.weights) for r in rows])[1] if rows else lm.packed(lm.initial(vocabulary_of(path, counts)))
+def trained(documents: DataFrame, path: str, counts: np.ndarray) -> bytes:
+    """documents: mark, ids. Weights averaged over the shards, FAN at a time until one row is left."""
+    shards = int(np.clip(-(-int(counts.sum()) // SHARD), 1, MAX_SHARDS))
+    dealt = documents.select(F.pmod("mark", F.lit(shards)).cast("int").alias("part"), "mark", "ids").repartitionById(shards, "part")
+    state = stored(dealt.sortWithinPartitions("mark", "ids").select("part", "ids").mapInArrow(_train(path, counts), WEIGHTS))
+    while (left := state.count()) > 1:
+        state = stored(state.groupBy(F.expr(f"part div {FAN}").alias("g")).applyInArrow(_averaged, WEIGHTS).withColumn("part", F.expr(f"part div {FAN}")))
+    return bytes(state.first().weights) if left else lm.packed(lm.initial(_vocabulary(path, counts)))
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<struct<word:binary,n:long>>"
+SCORED = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>"
 
 
-def _score(path: str, counts: np.ndarray, weights: bytes, frequent: dict[bytes, float], end: tuple[float, int]) -> Callable:
-    rest_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+def _score(path: str, counts: np.ndarray, weights: bytes, frequent: tuple[np.ndarray, np.ndarray], end: tuple[float, int]) -> Callable:
+    """frequent: sorted hashes of words, and their base log10; end: base log10 of the end of a text, and whether it is known."""
     key = uuid.uuid4().hex
 
+    def network() -> lm.Network:
+        vocabulary = _vocabulary(path, counts)
+        return lm.Network(lm.unpacked(weights, vocabulary), vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, model = vocabulary_of(path, counts), lm.unpacked(weights)
-        known = _table(key, path, frequent)
-        for rows, words in _chunks(batches):
-            windows, places, n_words = _windows(known, vocabulary, words)
-            found = np.r_[0.0, np.cumsum(lm.log_probabilities(model, windows))]
-            score = (found[np.r_[windows.starts[1:], len(windows.targets)]] - found[windows.starts]) / np.log(10)
-            base = np.frombuffer(known.base, np.float64)[places]
-            rare = np.isnan(base)
-            until, hits = np.r_[0.0, np.cumsum(np.where(rare, 0.0, base))], np.r_[0, np.cumsum(~rare)]
-            stops = np.cumsum(n_words)
-            starts = stops - n_words
-            rest = []
-            for own, a, b in zip(words, starts, stops):
-                few = Counter(own[i] for i in np.flatnonzero(rare[a:b]))
-                rest.append([{"word": w, "n": n} for w, n in few.items()])
-            columns = [[r[0] for r in rows], [r[1] for r in rows], n_words + 1, hits[stops] - hits[starts] + end[1], until[stops] - until[starts] + end[0], score]
+        net = _kept(key, network)
+        hashes, logs = frequent
+        for rows, ids, lengths in _parts(batches, TRAINED):
+            windows = lm.Windows(net.vocabulary, ids, lengths)
+            score = np.add.reduceat(lm.log_probabilities(net, windows), windows.starts) / np.log(10)
+            opens = np.concatenate([np.unpackbits(np.frombuffer(r[2], np.uint8), count=n) for r, n in zip(rows, lengths)]) if len(ids) else np.zeros(0, np.uint8)
+            begin = np.flatnonzero(opens)
+            words = word_hashes(ids, begin)
+            at = np.minimum(np.searchsorted(hashes, words), max(len(hashes) - 1, 0))
+            often = hashes[at] == words if len(hashes) else np.zeros(len(words), bool)
+            base = np.r_[0.0, np.cumsum(np.where(often, logs[at] if len(hashes) else 0.0, 0.0))]
+            hits, many = np.r_[0, np.cumsum(often)], np.r_[0, np.cumsum(opens)]
+            stops = np.cumsum(lengths)
+            last, first = many[stops], many[stops - lengths]
+            rare = np.r_[0, np.cumsum(~often)]
+            rest = pa.ListArray.from_arrays(pa.array(np.r_[0, rare[last]], pa.int32()), pa.array(words[~often], pa.int64()))
+            columns = [[r[0] for r in rows], [r[1] for r in rows], last - first + 1, hits[last] - hits[first] + end[1], base[last] - base[first] + end[0], score]
             kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array(rest, rest_type)], [x.split()[0] for x in SCORED.split(", ")])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), rest], [x.split()[0] for x in SCORED.split(", ")])
 
     return run
 
@@ -243,23 +300,24 @@ def frequent_words(counts: DataFrame) -> list:
 def scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     path = path or bpe.default_path()
-    docs = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    train = docs.filter(~F.col("held_out"))
-    counts = stored(word_counts(train))
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    bottom = n + 0.5 * (v + 1)
+    all_ = read(docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text"), path)
+    documents = all_.filter(F.col("row").isNotNull())
     ids = np.zeros(lm.IDS, np.int64)
-    for r in counts.filter(F.col("word") != F.lit(END_WORD)).mapInArrow(_count_ids(path), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in all_.filter(F.col("id").isNotNull()).groupBy("id").agg(F.sum("n").alias("n")).collect():
         ids[r.id] = r.n
-    ends = counts.filter(F.col("word") == F.lit(END_WORD)).first()
-    end = ends.c if ends else 0
-    ids[lm.END] = end
-    weights = trained(train, path, ids)
+    end = int(ids[lm.END])
+    counts = stored(all_.filter(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("c")))
+    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    n, v = n + end, v + (end > 0)
+    bottom = n + 0.5 * (v + 1)
+    weights = trained(documents.filter(~F.col("held_out")).select("mark", "ids"), path, ids)
     log10 = lambda c: float(np.log10((c + 0.5) / bottom))
-    frequent = {bytes(r.word): log10(r.c) for r in frequent_words(counts)}
-    rows = stored(docs.withColumn("text", F.col("text").cast("binary")).mapInArrow(_score(path, ids, weights, frequent, (log10(end), int(end > 0))), SCORED).withColumn("row", F.monotonically_increasing_id()))
-    rest = rows.select("row", F.inline("rest")).join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    sums = rest.groupBy("row").agg(F.sum(F.col("n") * F.log10((F.col("c") + 0.5) / bottom)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("also"))
+    found = sorted((r.word, log10(r.c)) for r in frequent_words(counts))
+    frequent = np.array([w for w, _ in found], np.int64), np.array([x for _, x in found], np.float64)
+    scored = documents.select("doc_id", "held_out", "opens", "ids").mapInArrow(_score(path, ids, weights, frequent, (log10(end), int(end > 0))), SCORED)
+    rows = stored(scored.withColumn("row", F.monotonically_increasing_id()))
+    rest = rows.select("row", F.explode("rest").alias("word")).join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    sums = rest.groupBy("row").agg(F.sum(F.log10((F.col("c") + 0.5) / bottom)).alias("more"), F.count_if(F.col("c") > 0).alias("also"))
     return rows.drop("rest").join(sums, "row", "left").select(
         "doc_id",
         "held_out",

@@ -142,56 +142,117 @@ def test_quality_scores(spark):
     assert {r.score for r in q8.scored(docs, none).collect()} == {0.5}
 
 
-def test_gradients():
-    """The hand-written backward pass against finite differences, in the directions of each weight."""
+def small_vocabulary(n=50):
     counts = np.zeros(lm.IDS)
-    counts[:50] = np.arange(50, 0, -1)
-    vocabulary = lm.Vocabulary(counts, OPENS)
-    ids = np.random.default_rng(3).integers(0, 50, 90)
-    windows = lm.Windows(vocabulary, ids, np.array([60, 0, 30]))
-    w = lm.initial(vocabulary)
-
-    def loss(w):
-        inner = vocabulary.inner[windows.targets].sum()
-        return -(lm.log_probabilities(w, windows).sum() - inner) / len(windows.targets)
-
-    for name in lm.SHAPES:
-        taken = {}
+    counts[:n] = np.arange(n, 0, -1)
+    counts[lm.END] = 3
+    return lm.Vocabulary(counts, OPENS)
 
-        class Seen(lm.Trainer):
-            pass
 
-        trainer = Seen(w)
-        trainer.show(windows)  # one batch: m is a tenth of the gradient
+def test_gradients(monkeypatch):
+    """The hand-written backward pass, which takes power() for exp(), against finite differences with exp()."""
+    monkeypatch.setattr(lm, "power", np.exp)
+    vocabulary = small_vocabulary()
+    windows = lm.Windows(vocabulary, np.random.default_rng(3).integers(0, 50, 90), np.array([60, 0, 30]))
+    w = lm.initial(vocabulary)
+    loss = lambda w: -lm.log_probabilities(lm.Network(w, vocabulary), windows).sum() / 93
+    trainer = lm.Trainer(w, vocabulary)
+    trainer.show(windows)  # one batch: m is a tenth of the gradient
+    for name in lm.shapes(vocabulary):
         grad = trainer.m[name] * 10
-        direction = (np.random.default_rng(5).standard_normal(grad.shape)).astype(np.float32)
+        direction = np.random.default_rng(5).standard_normal(grad.shape).astype(np.float32)
+        if name == "e":
+            direction[vocabulary.blank] = 0
         eps = 1e-2
-        up, down = dict(w), dict(w)
-        up[name], down[name] = w[name] + eps * direction, w[name] - eps * direction
-        slope = (loss(up) - loss(down)) / (2 * eps)
-        taken[name] = (grad * direction).sum()
-        assert abs(slope - taken[name]) < 2e-2 * max(0.05, abs(slope)), (name, slope, taken[name])
+        slope = (loss(w | {name: w[name] + eps * direction}) - loss(w | {name: w[name] - eps * direction})) / (2 * eps)
+        taken = (grad * direction).sum()
+        assert abs(slope - taken) < 2e-2 * max(0.05, abs(slope)), (name, slope, taken)
 
 
 def test_every_batch_trains_every_layer():
-    vocabulary = lm.Vocabulary(np.arange(lm.IDS, 0, -1).astype(float), OPENS)
-    trainer = lm.Trainer(lm.initial(vocabulary))
-    trainer.show(lm.Windows(vocabulary, np.random.default_rng(6).integers(0, 50, 3 * lm.BATCH * lm.NEW), np.array([3 * lm.BATCH * lm.NEW])))
-    assert trainer.batches >= 3 and set(trainer.steps.values()) == {trainer.batches}
+    vocabulary = small_vocabulary()
+    trainer = lm.Trainer(lm.initial(vocabulary), vocabulary)
+    moved = []
+    for seed in range(3):
+        before = {n: x.copy() for n, x in trainer.w.items()}
+        n = lm.BATCH * lm.NEW - 1
+        trainer.show(lm.Windows(vocabulary, np.random.default_rng(seed).integers(0, 50, n), np.array([n])))
+        moved.append(all((trainer.w[n] != x).any() for n, x in before.items()))
+    assert trainer.steps == 3 and all(moved) and trainer.tokens == 3 * lm.BATCH * lm.NEW
 
 
 def test_probabilities_are_causal_and_sum_to_one():
-    counts = np.random.default_rng(1).integers(0, 100, lm.IDS).astype(float)
-    vocabulary = lm.Vocabulary(counts, OPENS)
-    assert abs(np.bincount(vocabulary.cls, np.exp(vocabulary.inner), lm.CLASSES) - 1).max() < 1e-4
+    vocabulary = small_vocabulary(300)
     w = lm.initial(vocabulary)
+    net = lm.Network(w, vocabulary)
     ids = np.random.default_rng(2).integers(0, lm.IDS - 1, 100)
-    one = lm.log_probabilities(w, lm.Windows(vocabulary, ids, np.array([100])))
+    score = lambda ids, lengths: lm.log_probabilities(net, lm.Windows(vocabulary, ids, np.array(lengths)))
+    one = score(ids, [100])
     other = ids.copy()
     other[70:] = 5
-    assert np.allclose(one[:70], lm.log_probabilities(w, lm.Windows(vocabulary, other, np.array([100])))[:70], atol=1e-5)
-    two = lm.log_probabilities(w, lm.Windows(vocabulary, np.r_[ids[:30], ids], np.array([30, 100])))
-    assert np.allclose(two[31:], one, atol=1e-4) and len(two) == 132
+    assert np.allclose(one[:70], score(other, [100])[:70], atol=1e-5)
+    two = lm.Windows(vocabulary, np.r_[ids[:30], ids], np.array([30, 100]))
+    assert np.allclose(lm.log_probabilities(net, two)[two.starts[1] :], one, atol=1e-4)
+    # Over all ids that may come next, those that were never seen among them.
+    after = np.r_[np.arange(300), lm.END]
+    total = sum(np.exp(score(np.r_[ids[:40], i], [41])[40]) for i in after[:-1]) + np.exp(score(ids[:40], [40])[40])
+    unseen = np.exp(score(np.r_[ids[:40], 5000], [41])[40])
+    assert abs(total + unseen * (lm.IDS - 301) - 1) < 1e-3
+
+
+def test_scores_equal_a_naive_forward_pass():
+    """Token by token in plain loops: embeddings, attention over the inputs of the token's window, both levels of the output."""
+    vocabulary = small_vocabulary(80)
+    trainer = lm.Trainer(lm.initial(vocabulary), vocabulary)
+    rng = np.random.default_rng(8)
+    trainer.show(lm.Windows(vocabulary, rng.integers(0, 80, 4000), np.full(40, 100)))
+    w = {n: x.astype(np.float64) for n, x in trainer.w.items()}
+
+    def power(x):
+        k = math.floor(x / math.log(2))
+        return 2.0**k * (1 + x / math.log(2) - k)
+
+    def naive(text):
+        inputs = [vocabulary.symbol[lm.END], *(vocabulary.symbol[i] for i in text)]
+        total = 0.0
+        for t, target in enumerate([*inputs[1:], inputs[0]]):
+            opening = t // lm.NEW * lm.NEW
+            x = w["e"][inputs[t]]
+            q = x @ w["a"][:, : lm.KEY]
+            over, under = np.zeros(lm.DIM), 0.0
+            for j in range(max(0, opening - lm.PAST), t + 1):
+                y = w["e"][inputs[j]]
+                weight = power(q @ (y @ w["a"][:, lm.KEY : 2 * lm.KEY])) * math.exp(w["r"][t - j])
+                over, under = over + weight * (y @ w["a"][:, 2 * lm.KEY :]), under + weight
+            u = x + over / under @ w["o"]
+            h = np.r_[u / (1 + np.abs(u)), 1.0]
+            k = int(vocabulary.cls[target])
+            first = [power(v) for v in h @ w["c"]]
+            within = [power(w["u"][i] @ h) for i in range(vocabulary.bounds[k], vocabulary.bounds[k + 1])]
+            total += math.log(first[k] / sum(first)) + math.log(within[target - vocabulary.bounds[k]] / sum(within))
+            total -= vocabulary.shared if target == vocabulary.unseen else 0
+        return total
+
+    texts = [rng.integers(0, 80, n) for n in (0, 1, 23, 24, 25, 70)] + [np.array([4, 9999, 5])]
+    windows = lm.Windows(vocabulary, np.concatenate(texts), np.array([len(x) for x in texts]))
+    got = np.add.reduceat(lm.log_probabilities(trainer.net, windows), windows.starts)
+    assert np.allclose(got, [naive(x) for x in texts], rtol=2e-3)
+
+
+def test_partitions_do_not_change_a_score(spark, monkeypatch):
+    monkeypatch.setattr(q9, "SHARD", 3000)
+    rng = np.random.default_rng(9)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in rng.zipf(1.4, 60) % 500)) for i in range(200)], "doc_id long, text string")
+    got = [{r.doc_id: r.score for r in q9.scores(docs.repartition(n)).collect()} for n in (1, 16)]
+    assert len(got[0]) == 200 and all(abs(x - got[1][i]) < 1e-4 * abs(x) for i, x in got[0].items())
+
+
+def test_word_hashes_tell_words_apart():
+    rng = np.random.default_rng(10)
+    words = {tuple(rng.integers(0, lm.IDS, rng.integers(1, 5)).tolist()) for _ in range(20_000)}
+    ids, starts = np.concatenate([np.array(w) for w in words]), np.cumsum([0, *map(len, words)])[:-1]
+    assert len(set(q9.word_hashes(ids, starts).tolist())) == len(words)
+    assert q9.word_hashes(ids[:3], np.array([0]))[0] == q9.word_hashes(np.r_[7, ids[:3]], np.array([0, 1]))[1]
 
 
 def test_scores(spark):
@@ -218,10 +279,12 @@ def test_training_helps():
     rng = np.random.default_rng(4)
     make = lambda n: np.concatenate([np.tile(rng.integers(0, 20) * 2 + np.array([0, 1]), 30) for _ in range(n)])
     train, test = make(4000), make(20)
-    vocabulary = lm.Vocabulary(np.bincount(train, minlength=lm.IDS), OPENS)
-    trainer = lm.Trainer(lm.initial(vocabulary))
-    for _ in range(4):
-        trainer.show(lm.Windows(vocabulary, train, np.full(4000, 60)))
+    counts = np.bincount(train, minlength=lm.IDS)
+    counts[lm.END] = 4000
+    vocabulary = lm.Vocabulary(counts, OPENS)
+    trainer = lm.Trainer(lm.initial(vocabulary), vocabulary)
+    trainer.show(lm.Windows(vocabulary, train, np.full(4000, 60)))
     held = lm.Windows(vocabulary, test, np.full(20, 60))
-    assert lm.log_probabilities(trainer.w, held).mean() > lm.log_probabilities(lm.initial(vocabulary), held).mean() + 0.5
-    assert all(np.array_equal(x, trainer.w[k]) for k, x in lm.unpacked(lm.packed(trainer.w)).items())
+    mean = lambda w: lm.log_probabilities(lm.Network(w, vocabulary), held).sum() / 1220
+    assert mean(trainer.w) > mean(lm.initial(vocabulary)) + 0.5
+    assert all(np.array_equal(x, trainer.w[k]) for k, x in lm.unpacked(lm.packed(trainer.w), vocabulary).items())
