@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from maskwright.functions import tokens
+from maskwright.functions.arrays import running
 from maskwright.functions.checks import let
 
 
@@ -18,17 +19,38 @@ def pseudonyms(findings: Column, inner: Column, outer: Column) -> Column:
 
 
 def placeholders(findings: Column) -> Column:
-    """Labels by entity type and normalised original, numbered by first appearance in the text."""
+    """Labels by entity type and normalised original, numbered by first appearance in the text.
 
-    def number(all_: Column, f: Column) -> Column:
-        same = F.filter(all_, lambda g: g.entity_type == f.entity_type)
-        return F.array_position(F.array_distinct(F.transform(same, lambda g: g.norm)), f.norm)
-
-    def label(all_: Column) -> Column:
-        return F.transform(all_, lambda f: _with_token(f, tokens.strict_label(f.entity_type, number(all_, f))))
-
-    plain = F.transform(findings, lambda f: F.struct(f.entity_type.alias("entity_type"), f.original.alias("original"), f.start.alias("start"), f.end.alias("end"), f.confidence.alias("confidence"), tokens.normalised(f.original).alias("norm")))
-    return let(plain, label)
+    Equal originals are found by sorting, not by looking through all others.
+    """
+    mark = lambda f, i: F.struct(f.entity_type.alias("kind"), tokens.normalised(f.original).alias("norm"), i.alias("at"))
+
+    def first(x: Column, others: Column, i: Column, *keys: str) -> Column:
+        """Whether x differs by the keys from the element before it."""
+        last = F.get(others, i - 1)
+        same = F.lit(True)
+        for k in keys:
+            same = same & last[k].eqNullSafe(x[k])
+        return (i == 0) | ~same
+
+    def numbered(firsts: Column) -> Column:
+        """The labels' numbers, in the order of kind and norm; firsts: kind, at, norm, sorted."""
+        opens = F.transform(F.filter(F.transform(firsts, lambda x, i: F.struct(x.kind.alias("kind"), i.alias("i"), first(x, firsts, i, "kind").alias("new"))), lambda x: x.new), lambda x: F.struct(x.kind.alias("kind"), x.i.alias("i")))
+        # As many as there are entity types.
+        base = lambda opens, kind: F.aggregate(opens, F.lit(0), lambda a, o: F.when(o.kind == kind, o.i).otherwise(a))
+        return let(opens, lambda opens: F.sort_array(F.transform(firsts, lambda x, i: F.struct(x.kind.alias("kind"), x.norm.alias("norm"), (i - base(opens, x.kind) + 1).alias("n")))))
+
+    def label(findings: Column, sorted_: Column) -> Column:
+        new = F.transform(sorted_, lambda x, i: first(x, sorted_, i, "kind", "norm"))
+        firsts = lambda new: F.sort_array(F.transform(F.filter(sorted_, lambda x, i: F.get(new, i)), lambda x: F.struct(x.kind.alias("kind"), x["at"].alias("at"), x.norm.alias("norm"))))
+        group = lambda new: running(new, F.lit(0), lambda a, x: a + x.cast("int"), "int")
+
+        def placed(new: Column) -> Column:
+            return let(let(firsts(new), numbered), lambda numbers: let(group(new), lambda groups: F.sort_array(F.transform(sorted_, lambda x, i: F.struct(x["at"].alias("at"), F.get(numbers, F.get(groups, i) - 1).n.alias("n"))))))
+
+        return let(let(new, placed), lambda order: F.transform(findings, lambda f, i: _with_token(f, tokens.strict_label(f.entity_type, F.get(order, i).n))))
+
+    return let(findings, lambda found: let(F.sort_array(F.transform(found, mark)), lambda sorted_: label(found, sorted_)))
 
 
 def rewritten(text: Column, findings: Column) -> Column:

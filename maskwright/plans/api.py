@@ -20,7 +20,7 @@ def detect(df: DataFrame, text: str = "text", words: D.Gazetteer = D.Gazetteer()
     Several uses of findings would run the detectors several times where Spark merges
     projections; give it to a sink, or cache or write it, before it is used twice.
     """
-    return df.withColumn("findings", D.detect(F.col(text), words, extra))
+    return df.withColumn("findings", D.detect_column(text, words) if extra is None else D.detect(F.col(text), words, extra))
 
 
 def _literal_pads(key: bytes) -> tuple[Column, Column]:

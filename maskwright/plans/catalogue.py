@@ -50,7 +50,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ detectors
 
-#: RE2 forms of the patterns; ASCII boundaries are equal to Unicode ones on the texts that they are held against.
+#: RE2 forms of the patterns. RE2 knows ASCII word boundaries only: MARKED has the patterns of detectors that are
+#: held against texts where that makes a difference, with \\x04 for a boundary. There each word is put between two
+#: \\x04 beforehand, and they are left out again before bytes are counted.
 SQL_PATTERNS = {
     "email": (r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,24}\b", r"\0"),
     "phone": (r"(^|\D)((?:\+|00)\s?49[\s/-]*\d{2,5}[\s/-]*[\d\s/-]{3,15}\d|0\d{2,4}[\s/-]*[\d\s/-]{3,15}\d)(\D|$)", r"\2"),
@@ -69,6 +71,12 @@ SQL_PATTERNS = {
     "postal_code": (r"\b(\d{5})(\s+\p{Lu}\p{Ll}+\b)", r"\1"),
     "street": (r"\b[A-ZÄÖÜ][A-Za-zÄÖÜäöüß\-]+(?i:straße|str\.|weg|gasse|platz|allee|ring|chaussee|damm|ufer|markt)\s+\d+[a-zA-Z]?\b", r"\0"),
 }
+MARKED = {
+    "email": (r"(?i)\x04[A-Z0-9._%+\-\x04]+@\x04?[A-Z0-9.\-\x04]+\.\x04[A-Z]{2,24}\x04", r"\0"),
+    "card": (r"\x04(?:\d\x04?(?:[ -]\x04?)?){12,18}\d(?:\x04?[ -]\x04|\x04)", r"\0"),
+    "name": (r"\x04[A-ZÄÖÜ][a-zäöüß](?:[A-ZÄÖÜa-zäöüß\-\x04]*[a-zäöüß])?\x04", r"\0"),
+    "city": (r"\x04[A-ZÄÖÜ][a-zäöüß]{2,}(?:\x04-\x04[A-ZÄÖÜa-zäöüß][a-zäöüß]{1,})*\x04", r"\0"),
+}
 #: What each detector asks of a match (o) or of the text before it (b), in SQL.
 _LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse(d)[i] AS INT) ELSE (CAST(reverse(d)[i] AS INT) * 2) // 10 + (CAST(reverse(d)[i] AS INT) * 2) % 10 END)) % 10 = 0"
 _DIGITS = "regexp_replace(o, '[^0-9]', '', 'g')"
@@ -92,12 +100,13 @@ PREDICATES = {
 
 def spans_sql(name: str, source: str) -> str:
     """SELECT id, span_start, span_end, original of one detector over a source with id and text."""
-    pattern, group = SQL_PATTERNS[name]
+    pattern, group = MARKED.get(name) or SQL_PATTERNS[name]
+    text = r"regexp_replace(replace(text, chr(4), chr(3)), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+', chr(4) || '\0' || chr(4), 'g')" if name in MARKED else "text"
     mark = {r"\0": "chr(1) || '\\0' || chr(2)", r"\1": "chr(1) || '\\1' || chr(2) || '\\2'", r"\2": "'\\1' || chr(1) || '\\2' || chr(2)" + (" || '\\3'" if name == "phone" else ""), r"\1\3": "chr(1) || '\\1' || chr(2) || '\\2' || chr(1) || '\\3' || chr(2)"}[group]
     return f"""SELECT id, span_start, span_end, o AS original FROM (
   SELECT id, k, o, span_start, span_start + strlen(o) AS span_end, b, a, {PREDICATES.get(name, 'true')} AS ok FROM (
     SELECT id, k, o, coalesce(sum(strlen(o)) OVER w, 0)::INT AS span_start, coalesce(string_agg(o, '') OVER w, '') AS b, lead(o) OVER (PARTITION BY id ORDER BY k) AS a FROM (
-      SELECT id, unnest(p) AS o, generate_subscripts(p, 1) AS k FROM (SELECT id, string_split_regex(regexp_replace(text, '{pattern.replace("'", "''")}', {mark}, 'g'), '[\\x01\\x02]') AS p FROM {source}))
+      SELECT id, replace(unnest(p), chr(4), '') AS o, generate_subscripts(p, 1) AS k FROM (SELECT id, string_split_regex(regexp_replace({text}, '{pattern.replace("'", "''")}', {mark}, 'g'), '[\\x01\\x02]') AS p FROM {source}))
     WINDOW w AS (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
   WHERE k % 2 = 0) WHERE ok"""
 
@@ -139,13 +148,13 @@ kept AS (SELECT f.* FROM f JOIN walk USING (id, n) WHERE keep)
 
 @_query("entity_counts", findings_sql(_SOURCES["documents"]) + "SELECT lang, entity_type, count(*) AS findings, count(DISTINCT doc_id) AS documents FROM kept JOIN documents ON doc_id = id GROUP BY ALL")
 def _entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _documents(spark, sf_dir).select("lang", "doc_id", F.explode_outer(D.detect(F.col("text"))).alias("f")).filter("f is not null")
+    rows = _documents(spark, sf_dir).select("lang", "doc_id", F.explode_outer(D.detect_column("text")).alias("f")).filter("f is not null")
     return rows.groupBy("lang", F.col("f.entity_type").alias("entity_type")).agg(F.count("*").alias("findings"), F.count_distinct("doc_id").alias("documents"))
 
 
 @_query("detect_letters", findings_sql(_SOURCES["letters"]) + "SELECT id, s AS span_start, e AS span_end, entity_type, original FROM kept")
 def _detect_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = letters(spark, sf_dir).select(F.col("letter_id").alias("id"), F.explode_outer(D.detect(F.col("text"))).alias("f")).filter("f is not null")
+    rows = letters(spark, sf_dir).select(F.col("letter_id").alias("id"), F.explode_outer(D.detect_column("text")).alias("f")).filter("f is not null")
     return rows.select("id", F.col("f.start").alias("span_start"), F.col("f.end").alias("span_end"), "f.entity_type", "f.original")
 
 
@@ -233,7 +242,7 @@ _TYPE_WORD = "CASE entity_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in
 q AS (SELECT *, min(s) OVER (PARTITION BY id, entity_type, norm) AS first FROM p)
 SELECT id, s AS span_start, '«' || {_TYPE_WORD} || ' ' || chr(64 + (dense_rank() OVER (PARTITION BY id, entity_type ORDER BY first))::INT) || '»' AS label FROM q""")
 def _strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = letters(spark, sf_dir).select(F.col("letter_id").alias("id"), F.explode_outer(R.placeholders(D.detect(F.col("text")))).alias("f")).filter("f is not null")
+    rows = letters(spark, sf_dir).select(F.col("letter_id").alias("id"), F.explode_outer(R.placeholders(D.detect_column("text"))).alias("f")).filter("f is not null")
     return rows.select("id", F.col("f.start").alias("span_start"), F.col("f.token").alias("label"))
 
 

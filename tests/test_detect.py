@@ -74,6 +74,37 @@ def test_case(found, name, text, expected):
         assert got == []
 
 
+def test_strings_are_those_of_the_text(spark):
+    """Also where the text holds the characters that mark matches: they are replaced in the matching copy only."""
+    text = "siehe https://a.example.com/x\u0001y/z und Petra Obst \u0002 Ruf 0441 123456"
+    for column in (D.detect(F.col("t")), next(d for d in D.detectors() if d.name == "url").findings(F.col("t"), 0)):
+        found = spark.createDataFrame([(text,)], "t string").select(column.alias("f")).first().f
+        assert found[0].original == "https://a.example.com/x\u0001y/z"
+        assert all(text.encode()[f.start : f.end].decode() == f.original for f in found)
+
+
+def test_long_texts_have_the_findings_of_their_parts(spark):
+    """More findings than are folded in one block, and persons that are followed by more white space than a window has."""
+    unit = "Frau Dr. Becker, Petra kommt am 01.02.2024 aus Köln, Tel +49 441 123456. "
+    one, many = (spark.createDataFrame([(unit * n,)], "t string").select(D.detect_column("t").alias("f")).first().f for n in (1, 500))
+    size = len(unit.encode())
+    assert [(f.entity_type, f.original, f.start, f.end) for f in many] == [(f.entity_type, f.original, f.start + i * size, f.end + i * size) for i in range(500) for f in one]
+    gap = " " * 300
+    far = spark.createDataFrame([(f"mit Petra{gap}Obst da",), (f"mit Petra {'O' + 'b' * 400} da",), (f"mit Petra{gap}obst",)], "t string").select(D.detect_column("t").alias("f")).collect()
+    assert [r.f[0].original for r in far] == [f"Petra{gap}Obst", f"Petra O{'b' * 400}", "Petra"]
+
+
+def test_every_first_name_is_known(spark):
+    """Alone, and behind a surname."""
+    assert len(set(V.FIRST_NAMES)) == 218 and {"jörn", "rüdiger", "sönke", "armin", "gerd", "konrad", "ulla", "marlene"} <= set(V.FIRST_NAMES)
+    rows = [(n.capitalize(), f"heute kam {n.capitalize()}.", f"gez. Obstler, {n.capitalize()}") for n in V.FIRST_NAMES]
+    df = spark.createDataFrame(rows, "n string, a string, b string")
+    for r in df.select("n", D.detect_column("a").alias("a"), D.detect_column("b").alias("b")).collect():
+        # The pattern of single names has no é, that of names behind a surname has every letter.
+        assert [(f.entity_type, f.original) for f in r.a] == ([] if r.n == "André" else [("person", r.n)]), r.n
+        assert [(f.entity_type, f.original) for f in r.b] == [("person", "Obstler"), ("person", r.n)], r.n
+
+
 def test_null_is_empty(found):
     assert found["null"] == []
 
