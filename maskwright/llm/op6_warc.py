@@ -17,8 +17,8 @@ Defined cases: records with a null url, ts, record_id or unknown kind are left o
 revisit without an earlier response is "no_response", with validators that differ
 "mismatch", without two comparable ones "no_validator", and these three get no payload and
 their own headers; null headers are empty; header names are compared in lower case, of
-repeated names the last counts; repeated rows of a record_id count once; extra columns
-are not read.
+repeated names the last counts; of the rows of a record_id one counts, whole: the earliest,
+then by kind, URL, validators and a hash of headers and payload; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -71,19 +71,23 @@ def latest_earlier(slim: DataFrame) -> DataFrame:
 def resolve(records: DataFrame) -> DataFrame:
     """One row a revisit: record_id, key, response_id, status, headers (array of name and value), payload."""
     known = records.filter(F.col("record_id").isNotNull() & F.col("url").isNotNull() & F.col("ts").isNotNull() & F.col("kind").isin("response", "revisit"))
-    slim = stored(known.select("record_id", canonical(F.col("url")).alias("key"), "ts", "kind", "etag", "last_modified").dropDuplicates(["record_id"]))
+    entries = F.sort_array(F.coalesce(F.map_entries("headers"), F.array().cast("array<struct<key:string,value:string>>")))
+    known = known.withColumn("mark", F.xxhash64(entries, "payload", "url"))
+    # One whole row of each record_id; what is left of it later is found by record_id and mark.
+    fields = F.struct("ts", "kind", canonical(F.col("url")).alias("key"), "etag", "last_modified", "mark")
+    slim = stored(known.groupBy("record_id").agg(F.min(fields).alias("row")).select("record_id", "row.*"))
     found = latest_earlier(slim.select("key", "ts", "record_id", "kind"))
     tag = lambda side: F.regexp_replace(F.col(f"{side}.etag"), "^W/", "")
     revisits = slim.filter(F.col("kind") == "revisit").join(found, "record_id").alias("v")
     both = revisits.join(slim.filter(F.col("kind") == "response").alias("r"), F.col("v.response_id") == F.col("r.record_id"), "left")
     same = F.coalesce(tag("v") == tag("r"), F.col("v.last_modified") == F.col("r.last_modified"))
     status = F.when(F.col("r.record_id").isNull(), "no_response").when(same.isNull(), "no_validator").when(same, "resolved").otherwise("mismatch")
-    judged = stored(both.select("v.record_id", "v.key", F.col("v.response_id").alias("response_id"), status.alias("status")))
-    own = known.filter(F.col("kind") == "revisit").select("record_id", _named(F.col("headers")).alias("own")).dropDuplicates(["record_id"])
-    full = known.filter(F.col("kind") == "response").select(F.col("record_id").alias("source"), _named(F.col("headers")).alias("old"), "payload").dropDuplicates(["source"])
-    rows = judged.join(own, "record_id")
+    judged = stored(both.select("v.record_id", "v.mark", "v.key", F.col("v.response_id").alias("response_id"), F.col("r.mark").alias("response_mark"), status.alias("status")))
+    own = known.filter(F.col("kind") == "revisit").select("record_id", "mark", _named(F.col("headers")).alias("own")).dropDuplicates(["record_id", "mark"])
+    full = known.filter(F.col("kind") == "response").select(F.col("record_id").alias("source"), F.col("mark").alias("source_mark"), _named(F.col("headers")).alias("old"), "payload").dropDuplicates(["source", "source_mark"])
+    rows = judged.join(own, ["record_id", "mark"])
     # Only what is resolved is joined to its response: the others have no source, and nulls would meet in one task.
-    good = rows.filter(F.col("status") == "resolved").join(full, F.col("response_id") == F.col("source"))
+    good = rows.filter(F.col("status") == "resolved").join(full, (F.col("response_id") == F.col("source")) & (F.col("response_mark") == F.col("source_mark")))
     good = good.select("record_id", "key", "response_id", "status", merged(F.col("old"), F.col("own")).alias("headers"), "payload")
     rest = rows.filter(F.col("status") != "resolved").select("record_id", "key", "response_id", "status", F.sort_array("own").alias("headers"), F.lit(None).cast(dict(records.dtypes)["payload"]).alias("payload"))
     return good.union(rest)
