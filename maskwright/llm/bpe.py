@@ -1,7 +1,8 @@
 """Byte-level BPE ids of whole texts, with a cache of space-delimited chunks.
 
-The vocabulary is that of a tokenizers JSON file; its ids serve as merge ranks. Special
-tokens are not treated: their strings in a text are ordinary text.
+The vocabulary is that of a tokenizers JSON file; its ids serve as merge ranks. ids() reads
+the strings of special tokens as these tokens, as the file says; encode() reads them as
+ordinary text.
 
 In this pre-tokenisation a space before a non-space always opens a new token group, so a
 text can be cut before such spaces and each chunk encoded by itself. A text with any other
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 
 import numpy as np
 
@@ -47,9 +49,11 @@ class Encoder(dict):
         letters = _byte_letters()
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        special = {x["content"] for x in file.get("added_tokens", [])}
+        special = {x["content"]: x["id"] for x in file.get("added_tokens", [])}
         ranks = {bytes(letters[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in special}
         self.ranks = ranks
+        self.special = {text: np.array([i], "<u4").tobytes() for text, i in special.items()}
+        self.cuts = re.compile("(" + "|".join(sorted(map(re.escape, special), key=len, reverse=True)) + ")") if special else None
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def opens(self, n: int) -> np.ndarray:
@@ -72,6 +76,11 @@ class Encoder(dict):
         return found
 
     def ids(self, text: str) -> bytes:
+        if self.cuts and self.cuts.search(text):
+            return b"".join(self.special[x] if i % 2 else self._plain(x) for i, x in enumerate(self.cuts.split(text)))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         if first and not rest:
             return self._bytes(text)

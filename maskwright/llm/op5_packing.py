@@ -5,10 +5,19 @@ sequence are cut, into full pieces with the shorter one first. Full pieces are s
 by themselves. The others are dealt evenly to groups of about GROUP pieces, packed there
 by best fit in falling order of length, and bins with at most SLACK free places are
 emitted. Underfull bins go on as items: FAN groups are merged and packed again, round by
-round, until one group is left. Best fit leaves at most one bin of a group half empty or
-less, so bins beyond the KEEP emptiest could gain nothing later; they are emitted as they
-are, and so no group of any round has more than GROUP or FAN * KEEP items, whatever the
-lengths are. Each round is a stored table; no list of pieces goes to the driver.
+round, until one group is left.
+
+Of the underfull bins of a group the KEEP emptiest go on. No sequence is lost by that: best
+fit opens a bin only for an item that fits in no other, so any two bins of a group exceed a
+sequence together, and at most one of them is half empty or less. Bins that are joined later
+hold at most one that is over half full, so FAN groups have at most FAN bins that can be
+added to others, and each needs one host, for which any emptier bin does as well. KEEP is
+far above FAN.
+
+Rounds hold bins, not pieces: a round gives each of its items its bin and its offset there,
+and the places of the pieces come from going up through the rounds. So no group of any round
+has more than about GROUP, or FAN * KEEP, rows, whatever the lengths are. Each round is a
+stored table; no list of pieces goes to the driver.
 
 Defined cases: null text is the empty text, which is its end id alone; ties in length are
 packed in any order; repeated rows are packed each; rows with a null doc_id are packed and
@@ -26,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm import bpe
-from maskwright.llm.common import stored, table
+from maskwright.llm.common import bounded, stored, table
 
 LENGTH = 2048
 END_ID = 0
@@ -89,18 +98,19 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(used, np.int64)
 
 
-def _round(number: int, capacity: int, last: bool) -> Callable:
+ROUND = "node long, parent long, parent_length long, offset long, grp long, done boolean"
+
+
+def _round(number: int, capacity: int, last: bool, keep: int) -> Callable:
     def run(rows: pa.Table) -> pa.Table:
-        group = rows.column("grp")[0].as_py()
-        node, size, at = (rows.column(c).to_numpy() for c in ("node", "node_length", "offset"))
-        nodes, first, back = np.unique(node, return_index=True, return_inverse=True)
-        bins, offsets, used = best_fit(size[first], capacity)
+        rows = rows.sort_by([("node_length", "descending"), ("node", "ascending")])
+        group, node, size = rows.column("grp")[0].as_py(), rows.column("node").to_numpy(), rows.column("node_length").to_numpy()
+        bins, offsets, used = best_fit(size, capacity)
         done = np.full(len(used), last)
         done |= used >= capacity - SLACK
-        done[np.argsort(used, kind="stable")[KEEP:]] = True
-        own = bins[back]
-        columns = [rows.column("row"), (number << 58) + (group << 20) + own, used[own], at + offsets[back], rows.column("grp"), done[own]]
-        return pa.table([pa.chunked_array([pa.array(c)]) if isinstance(c, np.ndarray) else c for c in columns], ["row", "node", "node_length", "offset", "grp", "done"])
+        done[np.argsort(used, kind="stable")[keep:]] = True
+        columns = [node, (number << 58) + (group << 20) + bins, used[bins], offsets, np.full(len(node), group), done[bins]]
+        return pa.table([pa.array(c) for c in columns], [x.split()[0] for x in ROUND.split(", ")])
 
     return run
 
@@ -110,15 +120,20 @@ def packed(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     full = pieces.filter(F.col("length") >= length).select("row", F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     items = pieces.filter(F.col("length") < length)
     groups = max(1, -(-items.count() // GROUP))
-    state = items.select("row", F.col("row").alias("node"), F.col("length").alias("node_length"), F.lit(0).cast("long").alias("offset"), F.pmod(F.xxhash64("row"), F.lit(groups)).cast("long").alias("grp"))
-    out, number = full, 1
+    nodes = items.select(F.col("row").alias("node"), F.col("length").alias("node_length"), F.pmod(F.xxhash64("row"), F.lit(groups)).cast("long").alias("grp"))
+    rounds: list[DataFrame] = []
     while True:
-        state = stored(state.groupBy("grp").applyInArrow(_round(number, length, groups == 1), "row long, node long, node_length long, offset long, grp long, done boolean"))
-        out = out.union(state.filter("done").select("row", "node", "offset"))
+        rounds.append(stored(nodes.groupBy("grp").applyInArrow(_round(len(rounds) + 1, length, groups == 1, KEEP), ROUND)))
         if groups == 1:
-            return out
-        groups, number = -(-groups // FAN), number + 1
-        state = state.filter("not done").drop("done").withColumn("grp", F.expr(f"grp div {FAN}"))
+            break
+        groups = -(-groups // FAN)
+        nodes = rounds[-1].filter("not done").select(F.col("parent").alias("node"), F.col("parent_length").alias("node_length"), F.expr(f"grp div {FAN}").alias("grp")).distinct()
+    places = rounds.pop().select("node", F.col("parent").alias("sequence_id"), "offset")
+    while rounds:
+        above = bounded(stored(places)).select(F.col("node").alias("above"), F.col("sequence_id").alias("last"), F.col("offset").alias("more"))
+        own = rounds.pop().join(above, F.col("parent") == F.col("above"), "left")
+        places = own.select("node", F.coalesce("last", "parent").alias("sequence_id"), (F.col("offset") + F.coalesce("more", F.lit(0))).alias("offset"))
+    return full.union(places)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, length: int = LENGTH, with_ids: bool = True) -> DataFrame:

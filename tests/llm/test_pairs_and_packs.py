@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 import xxhash
 from tokenizers import Tokenizer
 
@@ -109,12 +110,11 @@ def test_components(spark):
     assert set(got) == {n for n in near if near[n] - {n}}
 
 
-TEXTS = ["", " ", "a", " a", "a b", "a  b", "a \nb", "a\n b", "x.\nY z", "don't we'll", "é😀  ü", "a\t b", "tab\t", "end ", "12 34,5 --", "a b  c", "<|endoftext|> x", "a" * 300 + " b", "  x \x1c y"]
+TEXTS = ["", " ", "a", " a", "a b", "a  b", "a \nb", "a\n b", "x.\nY z", "don't we'll", "é😀  ü", "a\t b", "tab\t", "end ", "12 34,5 --", "a b  c", "<|endoftext|> x", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "a<|endoftext|>\n <|endoftext", "a" * 300 + " b", "  x \x1c y"]
 
 
 def test_cached_ids_equal_the_tokenizer():
     tokenizer = Tokenizer.from_file(bpe.default_path())
-    tokenizer.encode_special_tokens = True
     encoder = bpe.encoder(bpe.default_path())
     for text in TEXTS + ["".join(random.Random(i).choices(" \n\tab.é'", k=40)) for i in range(300)]:
         for _ in range(2):
@@ -125,7 +125,6 @@ def test_packing(spark):
     docs = documents(spark)
     got = p.pack_documents(docs).collect()
     tokenizer = Tokenizer.from_file(bpe.default_path())
-    tokenizer.encode_special_tokens = True
     pieces = collections.defaultdict(list)
     for r in got:
         pieces[r.sequence_id].append((r.offset, r.length))
@@ -168,6 +167,23 @@ def test_rounds_merge_groups(spark, monkeypatch):
     assert len(bins) <= 1.08 * sum(lengths) / 2048 + 1
 
 
+@pytest.mark.parametrize("kind", ["mixed", "halves", "tiny", "large", "thirds"])
+def test_bins_that_stay_behind_cost_no_sequence(spark, monkeypatch, kind):
+    """With KEEP and without it, as many sequences."""
+    rng = random.Random(kind)
+    draw = {"mixed": lambda: rng.randint(1, 2047), "halves": lambda: rng.choice([1000, 1023, 1025, 1100]), "tiny": lambda: rng.choice([1, 2, 3, 1900]), "large": lambda: rng.choice([1300, 1500, 60, 700]), "thirds": lambda: rng.choice([683, 682, 684, 1365])}[kind]
+    df = spark.createDataFrame([(i, draw()) for i in range(3000)], "row long, length long").cache()
+    monkeypatch.setattr(p, "GROUP", 60)
+    monkeypatch.setattr(p, "FAN", 4)
+    counts = []
+    for keep in (16, 1 << 30):
+        monkeypatch.setattr(p, "KEEP", keep)
+        rows = p.packed(df).collect()
+        assert sorted(r.row for r in rows) == list(range(3000))
+        counts.append(len({r.sequence_id for r in rows}))
+    assert counts[0] <= counts[1]
+
+
 def test_best_fit_fills():
     bins, offsets, used = p.best_fit(np.array([5, 5, 4, 3, 3]), 10)
     assert sorted(used.tolist()) == [10, 10] and offsets.max() < 10 and len(set(bins.tolist())) == 2
@@ -191,6 +207,23 @@ def test_revisits(spark):
     assert w.resolve(df.limit(0)).count() == 0
 
 
+def test_rows_that_clash_count_as_one_whole_row(spark):
+    """Of the rows of a record_id one stays, the same in any order of the input; its headers and payload are its own."""
+    rows = [
+        (1, "http://a.com/", 10, "response", '"a"', None, {"n": "1"}, "P1"), (1, "http://b.com/", 20, "response", '"b"', None, {"n": "2"}, "P2"), (1, "http://b.com/", 20, "response", '"b"', None, {"n": "3"}, "P3"),
+        (2, "http://a.com/", 90, "revisit", '"a"', None, None, None), (4, "http://b.com/", 90, "revisit", '"b"', None, {"x": "y"}, None), (4, "http://b.com/", 90, "revisit", '"b"', None, {"x": "z"}, None),
+    ]
+    seen = set()
+    for seed in range(6):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, etag string, last_modified string, headers map<string,string>, payload string").repartition(3)
+        got = {r.record_id: r for r in w.resolve(df).collect()}
+        assert got[2].status == "resolved" and got[2].payload == "P1" and [h.value for h in got[2].headers] == ["1"]
+        assert got[4].status == "no_response" and len(got) == 2
+        seen.add(got[4].headers[0].value)
+    assert len(seen) == 1
+
+
 def test_as_of_join_against_brute_force(spark):
     rng = random.Random(8)
     rows = [(f"u{rng.randrange(4)}", rng.randrange(20_000), i, rng.choice(["response", "revisit"])) for i in range(800)]
