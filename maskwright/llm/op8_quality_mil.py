@@ -1,15 +1,17 @@
 """Quality classifier: attention-based multiple-instance learning over passages.
 
-A document is a bag of passages of 100 words, all of its text. A passage is described by
-shares of byte classes, common and repeated words and word lengths; an encoder, gated
-attention and the weighted mean of the encoded passages give the score (see mil). The
-model is fitted on at most SAMPLE labelled documents, those with the smallest hash of
-doc_id among the rows that may be learnt from; only their passages come to the driver.
-Every document is then scored in one pass without a shuffle.
+A document is a bag of passages of 100 words, all of its text. A passage is encoded from
+its words, by learned embeddings of hashed words, and from shares of its byte classes, common
+and repeated words and word lengths; gated attention and the weighted mean of the encoded
+passages give the score (see mil). The model is fitted on at most SAMPLE labelled documents,
+those with the smallest hash of doc_id among the rows that may be learnt from, as long as
+they have at most PASSAGES passages together; one that would exceed that is left out. Only
+their passages come to the driver, some 270 bytes each. Every document is then scored in one
+pass without a shuffle.
 
 Neither labels nor lang, source or doc_id enter a score. Defined cases: null and empty
 texts are a bag of one empty passage; a doc_id with several labels has the smallest; null
-labels and null doc_ids are not learnt from; without both labels the score is the smoothed
+labels and null doc_ids are not learnt from; of several texts of a doc_id the smallest is; without both labels the score is the smoothed
 share of label 1; repeated rows are scored each; extra columns are not read.
 """
 
@@ -23,10 +25,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm import mil
-from maskwright.llm.common import table
+from maskwright.llm.common import stored, table
 
-#: The bound of the labelled sample.
-SAMPLE = 8000
+#: The bounds of the labelled sample.
+SAMPLE, PASSAGES = 8000, 100_000
 CHUNK = 256
 
 
@@ -36,8 +38,8 @@ def held_out(doc_id: Column) -> Column:
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bags = [mil.passages(x.as_py()).tobytes() for x in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.binary())], ["doc_id", "label", "bag"])
+        bags = [mil.passages(x.as_py()) for x in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(b.words) for b in bags], pa.int64()), pa.array([b.packed() for b in bags], pa.binary())], ["doc_id", "label", "passages", "bag"])
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict[str, np.ndarray]:
@@ -45,10 +47,17 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict[s
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col(label).cast("long")).alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
-    found = sorted(rows.mapInArrow(_bags, "doc_id long, label long, bag binary").collect(), key=lambda r: (r.doc_id, bytes(r.bag)))
-    bags = [np.frombuffer(bytes(r.bag), np.float32).reshape(-1, mil.FEATURES) for r in found]
-    return mil.fit(bags, np.array([float(r.label > 0) for r in found]))
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").cast("binary").alias("text"))
+    bags = stored(rows.mapInArrow(_bags, "doc_id long, label long, passages long, bag binary"))
+    taken, total = [], 0
+    for r in bags.select("doc_id", "passages").orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if total + r.passages <= PASSAGES:
+            taken.append((r.doc_id,))
+            total += r.passages
+    keys = docs.sparkSession.createDataFrame(taken, "doc_id long")
+    found = sorted(bags.join(F.broadcast(keys), "doc_id").collect(), key=lambda r: r.doc_id)
+    return mil.fit([mil.unpacked(bytes(r.bag)) for r in found], np.array([float(r.label > 0) for r in found]))
 
 
 def _scored(weights: dict[str, np.ndarray]) -> Callable:
