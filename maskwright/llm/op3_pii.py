@@ -15,8 +15,9 @@ become [CODE], other terms are removed as [REDACTED].
 
 Documents are read twice, by Arrow batches: once for spans and contexts, once for the
 document frequency of the candidate terms. Only small rows are stored or moved. The
-candidate terms go to the tasks as a set if there are at most TERMS_BROADCAST of them;
-beyond it, all words are counted and joined.
+candidate terms go to the tasks as a Bloom filter of BITS bits, whatever their number is:
+each task counts its words, lets those through that the filter knows, and the sums are
+joined with the candidates. More candidates let more words through; nothing else changes.
 
 Defined cases: null text is the empty text, with no spans; repeated rows have a result
 each and count as one context; equal starts are ordered by kind as listed; overlapping
@@ -32,8 +33,10 @@ import string
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +47,9 @@ LABELS = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[REDACTED]"]
 WINDOW = 8
 PRIOR = 10
 DISCLOSURE = 0.5
-TERMS_BROADCAST = 50_000
+BITS = 1 << 22
+#: Words that a task counts at once.
+COUNTED = 400_000
 
 NAME = frozenset((string.ascii_letters + string.digits + "._%+-"))
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -160,29 +165,51 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in FOUND.split(", ")])
 
 
-def _counted(terms: frozenset[bytes]) -> Callable:
+def bloom(terms: DataFrame) -> np.ndarray:
+    """A Bloom filter of the terms; at most BITS / 64 rows come to the driver."""
+    h = F.xxhash64("term")
+    bits = terms.select(F.explode(F.array(h, F.shiftrightunsigned(h, 32))).alias("h")).select(F.col("h").bitwiseAND(F.lit(BITS - 1)).alias("bit"))
+    words = bits.groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word"))
+    out = np.zeros(max(1, BITS // 64), np.int64)
+    for r in words.toLocalIterator():
+        out[r["at"]] = r["word"]
+    return out
+
+
+def _counted(known: np.ndarray, counted: int) -> Callable:
+    bits, mask = known.tobytes(), 64 * len(known) - 1
+
+    def passes(word: bytes) -> bool:
+        h = xxhash.xxh64_intdigest(word, 42)
+        a, b = h & mask, (h >> 32) & mask
+        return bool(bits[a >> 3] >> (a & 7) & bits[b >> 3] >> (b & 7) & 1)
+
+    def emitted(kept: Counter) -> pa.RecordBatch:
+        names = list(kept)
+        return pa.RecordBatch.from_arrays([pa.array([n.decode() for n in names], pa.string()), pa.array([kept[n] for n in names], pa.int64())], ["term", "documents"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        kept: Counter = Counter()
         for batch in batches:
             for x in batch.column(0):
-                seen.update(terms.intersection((x.as_py() or b"").translate(PLAIN).split()))
-        names = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([n.decode() for n in names], pa.string()), pa.array([seen[n] for n in names], pa.int64())], ["term", "documents"])
+                seen.update(set((x.as_py() or b"").translate(PLAIN).split()))
+                if len(seen) >= counted:
+                    kept.update({w: n for w, n in seen.items() if passes(w)})
+                    seen.clear()
+                    if len(kept) >= counted:
+                        yield emitted(kept)
+                        kept.clear()
+        kept.update({w: n for w, n in seen.items() if passes(w)})
+        yield emitted(kept)
 
     return run
 
 
 def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, documents: in how many of all documents each term is."""
-    terms = stored(terms)
-    n = terms.count()
-    if n <= TERMS_BROADCAST:
-        wanted = frozenset(r.term.encode() for r in terms.toLocalIterator())
-        parts = docs.select(F.col("text").cast("binary")).mapInArrow(_counted(wanted), "term string, documents long")
-        return parts.groupBy("term").agg(F.sum("documents").alias("documents"))
-    plain = F.regexp_replace(F.translate(F.col("text"), string.ascii_uppercase, string.ascii_lowercase), "[!-/:-@\\[-`{-~\\x20\\x09-\\x0D]+", " ")
-    words = docs.select(F.explode(F.array_distinct(F.split(plain, " "))).alias("term"))
-    return words.groupBy("term").agg(F.count("*").alias("documents")).join(terms, "term", "left_semi")
+    """term, documents: in how many of all documents each term is. Words that are no terms may be among them."""
+    parts = docs.select(F.col("text").cast("binary")).mapInArrow(_counted(bloom(terms), COUNTED), "term string, documents long")
+    return parts.groupBy("term").agg(F.sum("documents").alias("documents"))
 
 
 def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
