@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import text as T
 from maskwright.functions import tokens
+from maskwright.functions import values as V
 from maskwright.operators import detect as D
 from maskwright.operators import html as H
+from maskwright.operators import image as I
 from maskwright.operators import rewrite as R
 from maskwright.sources import inputs, store
 from maskwright.sources.tables import stored
@@ -104,3 +106,35 @@ def stage(df: DataFrame, mode: str = "strict", text: str = "text") -> DataFrame:
     rows = anonymise(rows, text)
     shown = T.segments(F.col(text), F.col("findings"))
     return rows.withColumn("__s", shown).select("*", "__s.segments", "__s.truncated", F.size("findings").alias("finding_count"), R.entity_counts(F.col("findings")).alias("entity_counts"), F.lit(mode).alias("mode")).drop("__s")
+
+
+def redact_images(df: DataFrame, key: str, image: str = "image", words: str = "words", gazetteer: D.Gazetteer = D.Gazetteer()) -> DataFrame:
+    """df (key, PNG image, recognised words with places) with text, findings, boxes, redacted_image and error.
+
+    The words are put together to a text, its findings get a box a line, and the boxes are
+    painted. error is image_too_large, unreadable, or null; an image without words has no boxes.
+    """
+    empty = F.array().cast("array<struct<text:string,x:double,y:double,w:double,h:double,line:int>>")
+    rows = df.withColumn("__a", I.assembled(F.coalesce(F.col(words), empty)))
+    rows = rows.withColumn("text", F.col("__a.text")).withColumn("slices", F.col("__a.slices")).drop("__a")
+    rows = stored(anonymise(rows, "text", hint=False, words=gazetteer).drop("redacted_text"))
+    place = F.struct("finding", "line", "x", "y", "w", "h", "entity_type", "replacement")
+    found = I.boxes(rows.select(key, F.col(words).alias("words"), "slices", "findings"), key).groupBy(key).agg(F.sort_array(F.collect_list(place)).alias("boxes"))
+    none = F.array().cast(found.schema["boxes"].dataType)
+    out = rows.join(found, key, "left").withColumn("boxes", F.coalesce("boxes", none)).drop("slices")
+    fits = F.coalesce(F.octet_length(image), F.lit(0)) <= V.MAX_IMAGE_BYTES
+    out = out.withColumn("redacted_image", F.when(fits, I.rendered(F.when(fits, F.col(image)), F.col("boxes"))))
+    return out.withColumn("error", F.when(~fits, "image_too_large").when(F.col("redacted_image").isNull(), "unreadable"))
+
+
+def stage_and_archive(df: DataFrame, archive: DataFrame, at: Column, mode: str = "strict", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The result rows of stage(), and the rows to append to the archive: those with a finding."""
+    rows = stored(stage(df, mode, text))
+    kind = F.col("content_kind") if "content_kind" in rows.columns else F.lit("plain")
+    entries = rows.select(at.alias("created_at"), "mode", "redacted_text", "entity_counts", kind.alias("content_kind"), *[c for c in ("redacted_html", "image_path") if c in rows.columns])
+    return rows, store.archived(archive, entries)
+
+
+def with_case_id(df: DataFrame, name: str = "case_id") -> DataFrame:
+    """df with a fresh random case for each row. Stored, as a random value would change with each use."""
+    return stored(df.withColumn(name, F.uuid()))

@@ -255,7 +255,21 @@ def _anonymise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.anonymise(letters(spark, sf_dir).withColumnRenamed("letter_id", "id")).select("id", "redacted_text")
 
 
-@_query("pseudonymise_letters")
+def _pseudonymise_sql() -> str:
+    """Findings, a token for each under the secret of its letter, and the text with the tokens in place."""
+    byte = "('0x' || substr(h, i * 2 - 1, 2))::BIGINT"
+    pad = lambda mask: f"unhex(array_to_string(list_transform(range(1, 65), lambda i: printf('%02X', xor(CASE WHEN i <= 32 THEN {byte} ELSE 0 END, {mask}))), ''))"
+    digit = lambda k: f"substr('{tokens.BASE32}', ((('0x' || substr(t, 1, 8))::BIGINT >> {27 - 5 * k}) & 31)::INT + 1, 1)"
+    letter = "CASE entity_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.TYPE_LETTERS.items()) + " END"
+    hint = "' || chr(10) || chr(10) || '" + V.HINT.lstrip().replace("\n", "' || chr(10) || '")
+    return findings_sql(_SOURCES["letters"]) + rf""", secret AS (SELECT id, inner_pad, outer_pad FROM (SELECT id, {pad(0x36)} AS inner_pad, {pad(0x5C)} AS outer_pad FROM (SELECT id, {_hmac_sql(KEY, "'case:' || id")} AS h FROM src))),
+k AS (SELECT kept.*, sha256(outer_pad || unhex(sha256(inner_pad || encode(trim(regexp_replace(original, '\s+', ' ', 'g')))))) AS t FROM kept JOIN secret USING (id)),
+l AS (SELECT id, s, e, '«' || {letter} || '_' || {' || '.join(digit(i) for i in range(6))} || '»' AS label, coalesce(lag(e) OVER (PARTITION BY id ORDER BY s), 0) AS before FROM k),
+t AS (SELECT id, string_agg(decode(encode(text)[before + 1 : s]) || label, '' ORDER BY s) AS body, max(e) AS last, count(*)::INT AS findings FROM l JOIN src USING (id) GROUP BY id)
+SELECT id AS letter_id, body || decode(encode(text)[last + 1 : ]) || '{hint}' AS redacted_text, findings FROM t JOIN src USING (id)"""
+
+
+@_query("pseudonymise_letters", _pseudonymise_sql())
 def _pseudonymise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.pseudonymise(letters(spark, sf_dir).withColumn("case_id", F.col("letter_id").cast("string")), KEY, case="case_id").select("letter_id", "redacted_text", F.size("findings").alias("findings"))
 
@@ -286,22 +300,25 @@ def _extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "customer").select("c_custkey", F.array_join(T.extract_tokens(text), ",").alias("tokens"))
 
 
-@_query("smart_action", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'reverse' WHEN regexp_matches(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,24}\\b') THEN 'forward' ELSE 'pass' END AS action FROM conversations WHERE turn % 3 = 0 OR turn % 3 = 1 AND regexp_matches(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,24}\\b')")
-def _smart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of smart_action_all the turns that its SQL can tell: every third, and of the next ones those with an e-mail address."""
-    mail = F.col("text").rlike(V.PATTERNS["email"][0])
-    return _smart_actions(spark, _table(spark, sf_dir, "conversations").filter((F.col("turn") % 3 == 0) | ((F.col("turn") % 3 == 1) & mail)))
+_KNOWN_TOKEN = "«E_abc234»"
+_TURNS = f"(SELECT conv_id || '/' || turn AS id, CASE WHEN turn % 3 = 0 THEN '{_KNOWN_TOKEN} ' || text ELSE coalesce(text, '') END AS text FROM conversations)"
+
+
+def _smart_sql() -> str:
+    """Reverse where a known token stands before the text, else forward where any detector finds something."""
+    found = "\n UNION ALL ".join(f"SELECT id FROM ({spans_sql(d.name, 'src')})" for d in D.detectors())
+    return f"""WITH src AS MATERIALIZED (SELECT * FROM {_TURNS}), found AS MATERIALIZED (SELECT DISTINCT id FROM ({found}))
+SELECT conv_id, turn, CASE WHEN turn % 3 = 0 AND text IS NOT NULL THEN 'reverse' WHEN conv_id || '/' || turn IN (SELECT id FROM found) THEN 'forward' ELSE 'pass' END AS action FROM conversations"""
 
 
-#: No SQL: whether a text is forwarded depends on all detectors. The tests hold it against known actions.
-@_query("smart_action_all")
-def _smart_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query("smart_action", _smart_sql())
+def _smart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _smart_actions(spark, _table(spark, sf_dir, "conversations"))
 
 
 def _smart_actions(spark: SparkSession, turns: DataFrame) -> DataFrame:
     """The action on each turn, when every third one has a known token before it."""
-    token = "«E_abc234»"
+    token = _KNOWN_TOKEN
     rows = turns.withColumn("key", F.concat_ws("/", "conv_id", "turn"))
     rows = rows.withColumn("text", F.when(F.col("turn") % 3 == 0, F.concat(F.lit(token + " "), F.col("text"))).otherwise(F.col("text")))
     mappings = spark.createDataFrame([("c", token, "someone@example.com")], "case_id string, token string, original string").withColumn("first_seen", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
@@ -442,6 +459,31 @@ def _bio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.spans_of_tokens(rows, "doc").select("doc", "entity_type", F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.round("confidence", 6).alias("confidence"))
 
 
+def _grey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small white image for each part, with a city and a word of the part's name as recognised words."""
+    import numpy as np
+
+    png = I.encode(np.full((32, 64, 1), 255, np.uint8))
+    word = lambda text, x, line: F.struct(text.alias("text"), F.lit(x).alias("x"), F.lit(line / 2).alias("y"), F.lit(0.25).alias("w"), F.lit(0.25).alias("h"), F.lit(line).alias("line"))
+    city = F.when(F.col("p_partkey") % 2 == 0, "Bremen").otherwise("bremen")
+    return _table(spark, sf_dir, "part").select("p_partkey", F.lit(bytearray(png)).alias("image"), F.array(word(F.lit("aus"), 0.0, 0), word(city, 0.5, 0), word(F.lit("und"), 0.0, 1)).alias("words"))
+
+
+@_query("image_redact", """SELECT p_partkey, 'aus ' || CASE WHEN p_partkey % 2 = 0 THEN 'Bremen' ELSE 'bremen' END || chr(10) || 'und' AS text, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END::INT AS boxes,
+CASE WHEN p_partkey % 2 = 0 THEN '0.5,0.0,0.25,0.25' ELSE '' END AS place, CASE WHEN p_partkey % 2 = 0 THEN 22 * 11 ELSE 0 END::INT AS black FROM part""")
+def _image_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole image flow; black: the pixels that are painted (the box, 16 by 8, with its padding, within the image)."""
+    import pandas as pd
+
+    def dark(images: pd.Series) -> pd.Series:
+        return pd.Series([int((I.decode(bytes(x)) == 0).sum()) for x in images], dtype="int32")
+
+    dark.__annotations__ = {"images": pd.Series, "return": pd.Series}
+    rows = api.redact_images(_grey(spark, sf_dir), "p_partkey")
+    place = F.array_join(F.transform("boxes", lambda b: F.concat_ws(",", b.x.cast("string"), b.y.cast("string"), b.w.cast("string"), b.h.cast("string"))), ";")
+    return rows.select("p_partkey", "text", F.size("boxes").alias("boxes"), place.alias("place"), F.pandas_udf(dark, "int")("redacted_image").alias("black"))
+
+
 # ------------------------------------------------------------------ streams
 
 def _changes(events: Column | DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ keep; the archive never holds originals.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions import text as T
@@ -101,15 +103,56 @@ def archive_list(archive: DataFrame) -> DataFrame:
     return archive.select("id", T.iso_time(F.col("created_at")).alias("created_at"), "mode", "title", F.to_json("entity_counts").alias("entity_counts"), F.char_length("redacted_text").alias("char_len"), "content_kind").orderBy(F.desc("id"))
 
 
+def counts_of(text: Column) -> Column:
+    """MAP<STRING,INT> of the JSON that the list view has; empty where it is not such JSON."""
+    return F.coalesce(F.from_json(text, "map<string,int>"), F.create_map().cast("map<string,int>"))
+
+
 def archive_content(archive: DataFrame, entry: int) -> DataFrame:
     """One entry's best flavour: image, else HTML, else text. No row if the id is unknown."""
     best = F.when(F.col("image_path").isNotNull(), "image").when(F.col("redacted_html").isNotNull(), "html").otherwise("text")
     return archive.filter(F.col("id") == entry).select("id", best.alias("flavour"), "redacted_text", "redacted_html", "image_path")
 
 
+def archive_get(archive: DataFrame, entry: int) -> Row:
+    """One entry; KeyError if the id is unknown."""
+    found = archive.filter(F.col("id") == entry).take(1)
+    if not found:
+        raise KeyError(f"the archive has no entry {entry}")
+    return found[0]
+
+
+def archive_copy(archive: DataFrame, entry: int, read_image: Callable[[str], bytes] | None = None) -> tuple[str, str | bytes]:
+    """The flavour and content to put out for an entry: its image if it can be read, else its HTML, else its text."""
+    row = archive_get(archive, entry)
+    if row.image_path is not None and read_image is not None:
+        try:
+            return "image", read_image(row.image_path)
+        except OSError:
+            pass
+    return ("html", row.redacted_html) if row.redacted_html is not None else ("text", row.redacted_text)
+
+
 def archive_without(archive: DataFrame, entry: int | None = None) -> DataFrame:
     """The archive when one entry goes, or all do."""
-    return archive.filter(F.lit(False) if entry is None else F.col("id") != entry)
+    return archive.filter(F.lit(False) if entry is None else ~F.col("id").eqNullSafe(F.lit(entry)))
+
+
+def orphaned_images(archive: DataFrame, entry: int | None = None) -> DataFrame:
+    """image_path of the files that go with an entry, or with all, and that no entry left names."""
+    left = archive_without(archive, entry).select("image_path")
+    return archive.filter(F.col("image_path").isNotNull()).select("image_path").distinct().join(left, "image_path", "left_anti")
+
+
+def delete_images(paths: DataFrame) -> int:
+    """Deletes the files through Spark's file systems, one by one as the rows arrive; how many were there. Files that are gone already are no error."""
+    spark = paths.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf, done = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for row in paths.toLocalIterator():
+        path = hadoop.Path(row.image_path)
+        done += bool(path.getFileSystem(conf).delete(path, False))
+    return done
 
 
 def with_missing_columns(df: DataFrame, schema: str) -> DataFrame:

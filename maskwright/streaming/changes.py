@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright.sources import inputs, store
+from maskwright.sources.tables import stored
+
 POLL = "250 milliseconds"
 SWEEP = "300 seconds"
 
@@ -59,3 +62,30 @@ def run_policy(stream: DataFrame, policy: Callable[[DataFrame], DataFrame], sink
     """Applies a batch policy to each micro-batch; the checkpoint folder makes it recover where it stopped."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, n: sink(policy(batch), n))
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=POLL)).start()
+
+
+def sweep(spark: SparkSession, read: Callable[[], DataFrame], keep: Callable[[DataFrame], None], minutes: int, checkpoint: str, once: bool = False):
+    """Retention: mappings older than so many minutes go at the start and then every SWEEP; with 0 minutes all go, at the start only.
+
+    read gives the mapping table as it is, keep puts the rows that stay in its place.
+    Returns the running query, or None where only the start counts.
+    """
+
+    def purge() -> None:
+        keep(stored(store.purged(read(), F.current_timestamp(), minutes)))
+
+    purge()
+    if minutes == 0 or once:
+        return None
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=SWEEP).foreachBatch(lambda _, n: purge()).start()
+
+
+def ended(settings: inputs.Settings, archive: DataFrame) -> DataFrame:
+    """The archive that stays when a session ends."""
+    return store.archive_without(archive) if settings.stash_clear_on_quit else archive
+
+
+def since_start(events: DataFrame, start: int) -> DataFrame:
+    """Without what was there before the watch began: start is the last seq at that time."""
+    return events.filter(F.col("seq") > start)

@@ -82,6 +82,21 @@ def test_png_guards():
         I.size_of(I.PNG + b"\0\0\0\rIHDR" + (9000).to_bytes(4, "big") + (10).to_bytes(4, "big") + b"\0" * 8)
 
 
+def test_image_flow(spark):
+    """Words of two lines: each finding is painted on its own line, what can't be read has an error."""
+    white = I.encode(np.full((100, 200, 3), 255, np.uint8))
+    words = [("Petra", 0.125, 0.125, 0.25, 0.125, 0), ("wohnt", 0.5, 0.125, 0.25, 0.125, 0), ("in", 0.125, 0.5, 0.0625, 0.125, 1), ("Bremen", 0.25, 0.5, 0.25, 0.125, 1)]
+    df = spark.createDataFrame([(1, white, words), (2, white, None), (3, b"GIF89a", words), (4, None, words)], "k int, image binary, words array<struct<text:string,x:double,y:double,w:double,h:double,line:int>>")
+    got = {r.k: r for r in api.redact_images(df, "k").collect()}
+    assert got[1].text == "Petra wohnt\nin Bremen" and [(b.line, b.entity_type, b.replacement) for b in got[1].boxes] == [(0, "person", "«Person A»"), (1, "location", "«Ort A»")]
+    pixel = I.decode(bytes(got[1].redacted_image))
+    dark = np.zeros((100, 200), bool)
+    dark[9:28, 22:78] = dark[47:66, 47:103] = True
+    assert np.array_equal(pixel[:, :, 0] == 0, dark) and got[1].error is None
+    assert got[2].boxes == [] and np.array_equal(I.decode(bytes(got[2].redacted_image)), I.decode(white))
+    assert got[3].error == got[4].error == "unreadable" and got[3].redacted_image is None
+
+
 def test_assembled_text(spark):
     words = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(line).alias("line")) for t, line in (("Frau", 0), ("Äna", 0), ("Obst", 1))])
     r = spark.range(1).select(I.assembled(words).alias("a")).first().a

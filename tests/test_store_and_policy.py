@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import values as V
 from maskwright.plans import api, catalogue
 from maskwright.sources import inputs, store
+from maskwright.streaming import changes
 
 KEY = b"0" * 32
 AT = datetime.datetime(2024, 1, 1)
@@ -61,6 +62,62 @@ def test_archive(spark):
     assert store.archive_without(first, 2).count() == 2 and store.archive_without(first).count() == 0
 
 
+def test_archive_entries(spark, tmp_path):
+    image = tmp_path / "a.png"
+    image.write_bytes(b"png")
+    rows = [(1, AT, "strict", "t", "text 1", {"person": 2}, "plain", None, None), (2, AT, "strict", "t", "text 2", {}, "rich", "<p>2</p>", None), (3, AT, "strict", "t", "text 3", {}, "image", None, str(image)), (None, AT, "strict", "t", "no id", {}, "plain", None, str(image))]
+    archive = spark.createDataFrame(rows, store.ARCHIVE)
+    assert store.archive_get(archive, 2).redacted_text == "text 2"
+    with pytest.raises(KeyError):
+        store.archive_get(archive, 9)
+    with pytest.raises(KeyError):
+        store.archive_copy(archive, 9)
+
+    def read(path):
+        with open(path, "rb") as f:
+            return f.read()
+
+    assert [store.archive_copy(archive, i, read) for i in (1, 2, 3)] == [("text", "text 1"), ("html", "<p>2</p>"), ("image", b"png")]
+    # Rows without an id stay; a file goes when the last entry that names it does.
+    assert sorted(str(r.id) for r in store.archive_without(archive, 3).collect()) == ["1", "2", "None"]
+    assert store.orphaned_images(archive, 3).count() == 0
+    assert store.orphaned_images(archive.filter("id is not null"), 3).count() == 1
+    assert store.delete_images(store.orphaned_images(archive)) == 1 and not image.exists()
+    assert store.archive_copy(archive, 3, read) == ("text", "text 3")
+    listed = store.archive_list(archive).select("id", store.counts_of(F.col("entity_counts")).alias("c")).collect()
+    assert {r.id: r.c for r in listed}[1] == {"person": 2}
+    assert spark.createDataFrame([("no json",), (None,)], "t string").select(store.counts_of(F.col("t")).alias("c")).first().c == {}
+    assert changes.ended(inputs.Settings(), archive).count() == 4 and changes.ended(inputs.Settings(stash_clear_on_quit=True), archive).count() == 0
+
+
+def test_sweep(spark, tmp_path):
+    """At the start, and with a retention again and again; 0 minutes purge at the start only."""
+    now = datetime.datetime.now()
+    table = {"rows": mappings(spark, ("a", "old", "x", now - datetime.timedelta(minutes=90)), ("a", "new", "y", now))}
+    assert changes.sweep(spark, lambda: table["rows"], lambda df: table.update(rows=df), 60, str(tmp_path / "c1"), once=True) is None
+    assert [r.token for r in table["rows"].collect()] == ["new"]
+    query = changes.sweep(spark, lambda: table["rows"], lambda df: table.update(rows=df), 60, str(tmp_path / "c2"))
+    try:
+        assert query.isActive
+    finally:
+        query.stop()
+    table["rows"] = mappings(spark, ("a", "old", "x", now - datetime.timedelta(minutes=90)))
+    assert changes.sweep(spark, lambda: table["rows"], lambda df: table.update(rows=df), 0, str(tmp_path / "c3")) is None
+    assert table["rows"].count() == 0
+    events = spark.createDataFrame([(1, "a"), (2, "b")], "seq long, text string")
+    assert [r.text for r in changes.since_start(events, 1).collect()] == ["b"]
+
+
+def test_stage_and_archive(spark):
+    df = spark.createDataFrame([(1, "Petra aus Bremen"), (2, "nichts")], "k int, text string")
+    shown, entries = api.stage_and_archive(df, spark.createDataFrame([], store.ARCHIVE), F.lit(AT).cast("timestamp"))
+    assert shown.count() == 2
+    (row,) = entries.collect()
+    assert row.id == 1 and row.entity_counts == {"person": 1, "location": 1} and row.redacted_text.startswith("«Person A» aus «Ort A»")
+    cases = api.with_case_id(df)
+    assert len({r.case_id for r in cases.collect()}) == 2 and cases.collect() == cases.collect()
+
+
 def test_encryption_and_migration(spark):
     known = mappings(spark, ("a", "t", "Jürgen"))
     key, other = F.lit(bytearray(b"k" * 32)), F.lit(bytearray(b"o" * 32))
@@ -110,7 +167,7 @@ def test_smart_action_of_every_turn(spark, tmp_path):
     texts = {"nichts hier": "pass", "mail an a@b.de": "forward", "IBAN DE89 3704 0044 0532 0130 00": "forward", "siehe «E_zzzzzz» allein": "pass", "": "pass"}
     rows = [(conv, turn, "user", t) for conv, t in enumerate(texts) for turn in range(6)]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = [tuple(r) for r in catalogue.queries()["smart_action_all"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in catalogue.queries()["smart_action"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted((conv, turn, "reverse" if turn % 3 == 0 else texts[t]) for conv, turn, _, t in rows)
 
 
