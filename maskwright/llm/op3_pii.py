@@ -252,14 +252,19 @@ def _rewrite(texts: pd.Series, found: pd.Series) -> pd.Series:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with personal data in text generalised or removed, other columns as they were."""
+    """docs with personal data in text generalised or removed, other columns as they were.
+
+    Texts without a span are not moved, while the keys of the others are few enough to be broadcast.
+    """
     hit = stored(spans(docs).filter(F.size("all") > 0).select("doc_id", "text_hash", "all").dropDuplicates(["doc_id", "text_hash"]))
-    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("h.doc_id")) & (F.xxhash64("d.text") == F.col("h.text_hash"))
-    rows = docs.alias("d").join(hit.alias("h"), same, "left").select("d.*", F.col("h.all").alias("__spans"))
+    keys = bounded(hit.select("doc_id", "text_hash")).alias("k")
+    same = lambda other: F.col("d.doc_id").cast("long").eqNullSafe(F.col(f"{other}.doc_id")) & (F.xxhash64("d.text") == F.col(f"{other}.text_hash"))
+    clean = docs.alias("d").join(keys, same("k"), "left_anti")
+    rows = docs.alias("d").join(keys, same("k"), "left_semi").alias("d").join(hit.alias("h"), same("h")).select("d.*", F.col("h.all").alias("__spans"))
     rows = rows.withColumn("text", F.pandas_udf(_rewrite, "string")("text", "__spans"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return rows.select(*docs.columns)
+        rows = rows.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return clean.unionByName(rows.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
