@@ -283,7 +283,7 @@ class Trainer:
         share /= f["z"]
         do3, share3 = do.reshape(many, NEW, d), share.reshape(many, NEW, SPAN)
         ds = do3 @ f["v"][:, :, :d].transpose(0, 2, 1)
-        ds -= (do * o).sum(axis=1).reshape(many, NEW, 1)
+        ds -= np.einsum("ij,ij->i", do, o).reshape(many, NEW, 1)
         ds *= share3
         g["r"] = np.bincount(np.maximum(BACK, 0).ravel(), (ds.sum(axis=0) * (BACK >= 0)).ravel(), SPAN).astype(np.float32)
         dall = np.zeros((many, SPAN, 2 * KEY + d), np.float32)

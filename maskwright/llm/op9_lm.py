@@ -39,7 +39,7 @@ from maskwright.llm import bpe
 from maskwright.llm.common import stored, table
 
 FREQUENT = 100_000
-CACHED = 400_000
+CACHED = 800_000
 SHARD = 4_000_000
 MAX_SHARDS = 4096
 #: Bytes of text, and subword ids, that are handled at once in a task.
@@ -79,21 +79,40 @@ class Table(dict):
     """word -> its place; for each place the subword ids."""
 
     def __init__(self, path: str):
-        self.encode = bpe.encoder(path).encode
+        self.encode, self.opens = bpe.encoder(path).encode, bpe.encoder(path).opens(lm.IDS)
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self.ids, self.starts, self.lengths = array("i"), array("i"), array("i")
+        self.new: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
-        ids = self.encode(" " + word.decode())
-        self.starts.append(len(self.ids))
-        self.lengths.append(len(ids))
-        self.ids.extend(ids)
+        self.new.append(word)
         self[word] = len(self)
         return len(self) - 1
 
+    def places(self, words: list[list[bytes]], n: int) -> np.ndarray:
+        """The places of n words; those not met before are encoded together."""
+        out = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, n)
+        new = [w.decode() for w in self.new]
+        # In this pre-tokenisation a space always begins a group, and so a word, where no other white space is next to it.
+        alone = [len(w.split()) != 1 or w != w.strip() for w in new]
+        ids = np.array(self.encode("".join(" " + w for w, a in zip(new, alone) if not a)), np.int32)
+        cuts = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
+        k = 0
+        for word, a in zip(new, alone):
+            if a:
+                own = self.encode(" " + word)
+            else:
+                own = ids[cuts[k] : cuts[k + 1]].tolist()
+                k += 1
+            self.starts.append(len(self.ids))
+            self.lengths.append(len(own))
+            self.ids.extend(own)
+        self.new = []
+        return out
+
     def subwords(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words at places, end to end, and how many each word has."""
         # The buffers are let go at once, as an array can't grow while one is held.
@@ -162,7 +181,7 @@ def _read(path: str) -> Callable:
                 known.reset()
                 words_seen = np.zeros(0, np.int64)
             n_words = np.array([len(w) for w in words])
-            places = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, int(n_words.sum()))
+            places = known.places(words, int(n_words.sum()))
             ids, lengths = known.subwords(places)
             train = ~np.array([r[2] for r in rows])
             seen = np.bincount(places[np.repeat(train, n_words)], minlength=len(known))

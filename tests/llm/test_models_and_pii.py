@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 
 from maskwright.llm import attention_lm as lm
-from maskwright.llm import mil
+from maskwright.llm import bpe, mil
 from maskwright.llm import op3_pii as pii
 from maskwright.llm import op8_quality_mil as q8
 from maskwright.llm import op9_lm as q9
@@ -98,12 +98,57 @@ def test_terms_of_an_entity_seen_once(spark):
     assert not any(rows[i] for i in range(400))
 
 
-def test_terms_beyond_the_broadcast(spark, monkeypatch):
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    """With one word of bits every word passes; with few counted at once a task emits again and again."""
     docs = documents(spark, PEOPLE)
     plain = lambda: sorted(str([r.doc_id, r.all]) for r in pii.spans(docs).collect())
-    small = plain()
-    monkeypatch.setattr(pii, "TERMS_BROADCAST", 0)
-    assert plain() == small
+    wide = plain()
+    monkeypatch.setattr(pii, "BITS", 64)
+    monkeypatch.setattr(pii, "COUNTED", 20)
+    assert plain() == wide
+
+
+def test_term_spans_equal_brute_force(spark):
+    """Every term span by plain counting over all texts, with entities of one and of several contexts."""
+    rng = random.Random(5)
+    common = [f"wort{i}" for i in range(30)]
+    rows = []
+    for i in range(160):
+        words = rng.choices(common, k=rng.randint(3, 30))
+        if i % 4 == 0:
+            words.insert(rng.randint(0, len(words)), f"user{i % 24}@example.com")
+            words.insert(rng.randint(0, len(words)), f"Kennzeichen{i % 24}x")
+        rows.append((i, None if i == 9 else " ".join(words)))
+    rows += [(500, rows[4][1]), (501, rows[4][1]), (4, rows[4][1])]
+    near, base, documents_ = collections.defaultdict(set), {}, collections.Counter()
+    places = collections.defaultdict(list)
+    for n, (_, text) in enumerate(rows):
+        text = text or ""
+        base[n] = pii.base_spans(text)
+        documents_.update({w for w in re.sub(r"[!-/:-@\[-`{-~]", " ", text).lower().split()})
+        tokens = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+        for a, kind, b in base[n]:
+            left = [t for t in tokens if t[1] <= a][-pii.WINDOW :]
+            right = [t for t in tokens if t[0] >= b][: pii.WINDOW]
+            context = " ".join(text[x:y] for x, y in left + right).lower()
+            for x, y in left + right:
+                if not any(x < q and p < y for p, _, q in base[n]):
+                    for m in re.finditer(r"[^!-/:-@\[-`{-~]{3,}", text[x:y]):
+                        if not m[0].isdigit():
+                            near[text[a:b].lower()].add((context, m[0].lower()))
+                            places[n].append((text[a:b].lower(), m[0].lower(), x + m.start(), x + m.end()))
+    disclosed = set()
+    for entity, seen in near.items():
+        contexts = len({c for c, _ in seen})
+        for term in {t for _, t in seen}:
+            alone = documents_[term] / len(rows)
+            given = (sum(t == term for _, t in seen) + pii.PRIOR * alone) / (contexts + pii.PRIOR)
+            if math.log2(given / alone) >= pii.DISCLOSURE * -math.log2(contexts / (len(rows) + contexts)):
+                disclosed.add((entity, term))
+    want = sorted(str((rows[n][0], sorted({*base[n], *((x, 4, y) for e, t, x, y in places[n] if (e, t) in disclosed)}))) for n in range(len(rows)))
+    got = pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str((r.doc_id, [(s.start, s.kind, s.end) for s in r.all])) for r in got) == want
+    assert 0 < len(disclosed) < sum(len({t for _, t in x}) for x in near.values())
 
 
 def test_overlaps_are_rewritten_as_one():
@@ -112,18 +157,61 @@ def test_overlaps_are_rewritten_as_one():
 
 
 def test_attention_finds_the_passage():
+    """One passage of a bag decides its label, by a share or by a word."""
     rng = np.random.default_rng(0)
-    bags, labels = [], []
-    for _ in range(600):
-        bag = rng.standard_normal((rng.integers(1, 6), mil.FEATURES)).astype(np.float32)
-        labels.append(float(rng.random() < 0.5))
-        if labels[-1]:
-            bag[rng.integers(len(bag)), 3] += 6
-        bags.append(bag)
-    weights = mil.fit(bags[:400], np.array(labels[:400]))
-    score, attention = mil.score(weights, bags[400:])
-    assert ((score >= 0.5) == np.array(labels[400:])).mean() > 0.85
-    assert all(abs(a.sum() - 1) < 1e-6 for a in attention)
+    for by_word in (False, True):
+        bags, labels = [], []
+        for _ in range(900):
+            n = rng.integers(1, 6)
+            bag = mil.Bag(rng.standard_normal((n, mil.FEATURES)).astype(np.float32), rng.integers(0, 50, n * 20).astype(np.uint16), np.full(n, 20, np.int32))
+            labels.append(float(rng.random() < 0.5))
+            if labels[-1]:
+                k = rng.integers(n)
+                if by_word:
+                    bag.buckets[20 * k : 20 * k + 10] = 77
+                else:
+                    bag.shares[k, 3] += 6
+            bags.append(bag)
+        weights = mil.fit(bags[:700], np.array(labels[:700]))
+        score, attention = mil.score(weights, bags[700:])
+        assert ((score >= 0.5) == np.array(labels[700:])).mean() > 0.85
+        assert all(abs(a.sum() - 1) < 1e-6 for a in attention)
+
+
+def test_a_score_equals_a_naive_forward_pass():
+    """Passage by passage and word by word in plain loops."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(rng.choice(["the", "Haus", "x1", "#", "und", "lorem"], n)).encode() for n in (1, 99, 100, 101, 350)] + [b"", None]
+    w = mil.fit([mil.passages(t) for t in texts], np.array([0, 1, 0, 1, 1, 0, 0.0]))
+    got, attention = mil.score(w, [mil.passages(t) for t in texts])
+    for text, score, weights in zip(texts, got, attention):
+        words = (text or b"").split()
+        shares = mil.passages(text).shares
+        encoded, raw = [], []
+        for k in range(max(1, -(-len(words) // 100))):
+            own = [zlib.crc32(x) % mil.BUCKETS for x in words[100 * k : 100 * k + 100]] or [mil.BUCKETS]
+            mean = sum(w["t"][i] for i in own) / len(own)
+            h = np.tanh(np.r_[(shares[k] - w["mean"]) / w["deviation"], mean] @ w["e"] + w["eb"])
+            encoded.append(h)
+            raw.append(sum(math.tanh(h @ w["v"][:, j]) / (1 + math.exp(-(h @ w["u"][:, j]))) * w["a"][j] for j in range(mil.GATE)))
+        weight = [math.exp(x) / sum(map(math.exp, raw)) for x in raw]
+        assert np.allclose(weights, weight, atol=1e-6) and len(shares) == len(weight)
+        z = sum(a * h for a, h in zip(weight, encoded))
+        assert abs(score - 1 / (1 + math.exp(-(z @ w["c"] + w["cb"][0])))) < 1e-6
+
+
+def test_bags_survive_packing_and_the_sample_is_bounded(spark, monkeypatch):
+    for text in (None, b"", b"a b c", b"x " * 250):
+        bag = mil.passages(text)
+        assert all(np.array_equal(a, b) for a, b in zip(bag, mil.unpacked(bag.packed())))
+    docs = spark.createDataFrame([(i, "wort " * (300 if i % 2 else 30)) for i in range(60)] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(mil, "fit", lambda bags, y: seen.append((sum(len(b.words) for b in bags), len(bags))))
+    q8.fitted(docs, labels)
+    monkeypatch.setattr(q8, "PASSAGES", 20)
+    q8.fitted(docs, labels)
+    assert seen[0][1] == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(60)) and 17 <= seen[1][0] <= 20
 
 
 def test_quality_scores(spark):
@@ -247,6 +335,17 @@ def test_partitions_do_not_change_a_score(spark, monkeypatch):
     assert len(got[0]) == 200 and all(abs(x - got[1][i]) < 1e-4 * abs(x) for i, x in got[0].items())
 
 
+def test_words_encoded_together_are_those_encoded_alone():
+    known = q9.Table(bpe.default_path())
+    words = "don't it's a's 's x--y 12ab... \u00e4\u00f6 \u00a0lead trail\u00a0 in\u00a0side \u3000 \U0001f600! <|endoftext|> \x1cfs #$% 007 \u0085n".split(" ")
+    rng = np.random.default_rng(12)
+    texts = [[words[i].encode() for i in rng.integers(0, len(words), 9)] for _ in range(40)]
+    for part in (texts[:3], texts[3:]):
+        ids, lengths = known.subwords(known.places(part, sum(map(len, part))))
+        cut = np.split(ids, np.cumsum(lengths)[:-1])
+        assert [x.tolist() for x in cut] == [known.encode(" " + w.decode()) for t in part for w in t]
+
+
 def test_word_hashes_tell_words_apart():
     rng = np.random.default_rng(10)
     words = {tuple(rng.integers(0, lm.IDS, rng.integers(1, 5)).tolist()) for _ in range(20_000)}
