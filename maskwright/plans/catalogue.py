@@ -51,8 +51,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ detectors
 
 #: RE2 forms of the patterns. RE2 knows ASCII word boundaries only: MARKED has the patterns of detectors that are
-#: held against texts where that makes a difference, with \\x04 for a boundary. There each word is put between two
-#: \\x04 beforehand, and they are left out again before bytes are counted.
+#: held against texts where that makes a difference, with \\x04 for a boundary. There two \\x04 are put before and
+#: behind each word beforehand, so that a match which ends at a boundary leaves one to the match which begins there,
+#: and they are left out again before bytes are counted.
 SQL_PATTERNS = {
     "email": (r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,24}\b", r"\0"),
     "phone": (r"(^|\D)((?:\+|00)\s?49[\s/-]*\d{2,5}[\s/-]*[\d\s/-]{3,15}\d|0\d{2,4}[\s/-]*[\d\s/-]{3,15}\d)(\D|$)", r"\2"),
@@ -72,10 +73,10 @@ SQL_PATTERNS = {
     "street": (r"\b[A-ZÄÖÜ][A-Za-zÄÖÜäöüß\-]+(?i:straße|str\.|weg|gasse|platz|allee|ring|chaussee|damm|ufer|markt)\s+\d+[a-zA-Z]?\b", r"\0"),
 }
 MARKED = {
-    "email": (r"(?i)\x04[A-Z0-9._%+\-\x04]+@\x04?[A-Z0-9.\-\x04]+\.\x04[A-Z]{2,24}\x04", r"\0"),
-    "card": (r"\x04(?:\d\x04?(?:[ -]\x04?)?){12,18}\d(?:\x04?[ -]\x04|\x04)", r"\0"),
-    "name": (r"\x04[A-ZÄÖÜ][a-zäöüß](?:[A-ZÄÖÜa-zäöüß\-\x04]*[a-zäöüß])?\x04", r"\0"),
-    "city": (r"\x04[A-ZÄÖÜ][a-zäöüß]{2,}(?:\x04-\x04[A-ZÄÖÜa-zäöüß][a-zäöüß]{1,})*\x04", r"\0"),
+    "email": (r"(?i)\x04[A-Z0-9._%+\-\x04]+@\x04*[A-Z0-9.\-\x04]+\.\x04+[A-Z]{2,24}\x04", r"\0"),
+    "card": (r"\x04+(?:\d\x04*(?:[ -]\x04*)?){12,18}\d(?:\x04*[ -]\x04|\x04)", r"\0"),
+    "name": (r"\x04+[A-ZÄÖÜ][a-zäöüß](?:[A-ZÄÖÜa-zäöüß\-\x04]*[a-zäöüß])?\x04", r"\0"),
+    "city": (r"\x04+[A-ZÄÖÜ][a-zäöüß]{2,}(?:\x04+-\x04+[A-ZÄÖÜa-zäöüß][a-zäöüß]{1,})*\x04", r"\0"),
 }
 #: What each detector asks of a match (o) or of the text before it (b), in SQL.
 _LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse(d)[i] AS INT) ELSE (CAST(reverse(d)[i] AS INT) * 2) // 10 + (CAST(reverse(d)[i] AS INT) * 2) % 10 END)) % 10 = 0"
@@ -101,7 +102,7 @@ PREDICATES = {
 def spans_sql(name: str, source: str) -> str:
     """SELECT id, span_start, span_end, original of one detector over a source with id and text."""
     pattern, group = MARKED.get(name) or SQL_PATTERNS[name]
-    text = r"regexp_replace(replace(text, chr(4), chr(3)), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+', chr(4) || '\0' || chr(4), 'g')" if name in MARKED else "text"
+    text = r"regexp_replace(replace(text, chr(4), chr(3)), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+', repeat(chr(4), 2) || '\0' || repeat(chr(4), 2), 'g')" if name in MARKED else "text"
     mark = {r"\0": "chr(1) || '\\0' || chr(2)", r"\1": "chr(1) || '\\1' || chr(2) || '\\2'", r"\2": "'\\1' || chr(1) || '\\2' || chr(2)" + (" || '\\3'" if name == "phone" else ""), r"\1\3": "chr(1) || '\\1' || chr(2) || '\\2' || chr(1) || '\\3' || chr(2)"}[group]
     return f"""SELECT id, span_start, span_end, o AS original FROM (
   SELECT id, k, o, span_start, span_start + strlen(o) AS span_end, b, a, {PREDICATES.get(name, 'true')} AS ok FROM (
