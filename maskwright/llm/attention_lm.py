@@ -287,9 +287,9 @@ class Trainer:
         ds *= share3
         g["r"] = np.bincount(np.maximum(BACK, 0).ravel(), (ds.sum(axis=0) * (BACK >= 0)).ravel(), SPAN).astype(np.float32)
         dall = np.zeros((many, SPAN, 2 * KEY + d), np.float32)
-        dall[:, PAST:, :KEY] = ds @ f["k"][:, :, :KEY]
-        dall[:, :, KEY : 2 * KEY] = ds.transpose(0, 2, 1) @ f["q"][:, :, :KEY]
-        dall[:, :, 2 * KEY :] = share3.transpose(0, 2, 1) @ do3
+        np.matmul(ds, f["k"][:, :, :KEY], out=dall[:, PAST:, :KEY])
+        np.matmul(ds.transpose(0, 2, 1), f["q"][:, :, :KEY], out=dall[:, :, KEY : 2 * KEY])
+        np.matmul(share3.transpose(0, 2, 1), do3, out=dall[:, :, 2 * KEY :])
         flat = dall.reshape(-1, 2 * KEY + d)
         g["a"] = f["x"].reshape(-1, d + 2)[:, :d].T @ flat
         dx = (flat @ w["a"].T).reshape(many, SPAN, d)

@@ -26,8 +26,9 @@ from __future__ import annotations
 
 import uuid
 from array import array
+from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, count, groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from maskwright.llm import attention_lm as lm
 from maskwright.llm import bpe
 from maskwright.llm.common import stored, table
 
-FREQUENT = 100_000
+FREQUENT = 250_000
 CACHED = 800_000
 SHARD = 4_000_000
 MAX_SHARDS = 4096
@@ -75,44 +76,46 @@ def word_hashes(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
 END_HASH = int(word_hashes(np.array([lm.END]), np.array([0]))[0])
 
 
-class Table(dict):
+class Table(defaultdict):
     """word -> its place; for each place the subword ids."""
 
     def __init__(self, path: str):
+        super().__init__()
         self.encode, self.opens = bpe.encoder(path).encode, bpe.encoder(path).opens(lm.IDS)
         self.reset()
 
     def reset(self) -> None:
         self.clear()
+        self.default_factory = count().__next__
         self.ids, self.starts, self.lengths = array("i"), array("i"), array("i")
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self.new.append(word)
-        self[word] = len(self)
-        return len(self) - 1
 
     def places(self, words: list[list[bytes]], n: int) -> np.ndarray:
         """The places of n words; those not met before are encoded together."""
+        before = len(self)
         out = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, n)
-        new = [w.decode() for w in self.new]
+        # The places follow the order in which the words came, and so do the keys.
+        new = [w.decode() for w in islice(reversed(self), len(self) - before)][::-1]
+        text = "".join(" " + w for w in new)
         # In this pre-tokenisation a space always begins a group, and so a word, where no other white space is next to it.
-        alone = [len(w.split()) != 1 or w != w.strip() for w in new]
-        ids = np.array(self.encode("".join(" " + w for w, a in zip(new, alone) if not a)), np.int32)
-        cuts = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
-        k = 0
-        for word, a in zip(new, alone):
-            if a:
-                own = self.encode(" " + word)
+        if text.split() == new:
+            self._add(self.encode(text))
+            return out
+        for alone, run in groupby(new, lambda w: w.split() != [w]):
+            if alone:
+                for w in run:
+                    self._add(self.encode(" " + w), cut=False)
             else:
-                own = ids[cuts[k] : cuts[k + 1]].tolist()
-                k += 1
-            self.starts.append(len(self.ids))
-            self.lengths.append(len(own))
-            self.ids.extend(own)
-        self.new = []
+                self._add(self.encode("".join(" " + w for w in run)))
         return out
 
+    def _add(self, ids: list[int], cut: bool = True) -> None:
+        """New words, each from an id that opens a word on, or all ids as one word."""
+        ids = np.array(ids, np.int32)
+        starts = np.flatnonzero(self.opens[ids]) if cut else np.zeros(1, np.int64)
+        self.starts.frombytes((starts + len(self.ids)).astype(np.int32).tobytes())
+        self.lengths.frombytes(np.diff(np.r_[starts, len(ids)]).astype(np.int32).tobytes())
+        self.ids.frombytes(ids.tobytes())
+
     def subwords(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words at places, end to end, and how many each word has."""
         # The buffers are let go at once, as an array can't grow while one is held.
@@ -124,6 +127,30 @@ class Table(dict):
         return word_hashes(np.frombuffer(self.ids, np.int32).copy(), np.frombuffer(self.starts, np.int32).copy()) if self else np.zeros(0, np.int64)
 
 
+class Logs:
+    """Base log10 of the words of given hashes. Most are found where the low bits of their hash point."""
+
+    def __init__(self, hashes: np.ndarray, logs: np.ndarray):
+        """hashes: sorted."""
+        self.hashes, self.logs = np.r_[hashes, np.int64(0)], np.r_[logs, 0.0]
+        self.known, self.last = np.r_[np.ones(len(hashes), bool), False], len(hashes)
+        self.mask = np.int64((1 << max(4, len(hashes)).bit_length() + 3) - 1)
+        slots = hashes & self.mask
+        self.slots = np.full(int(self.mask) + 1, self.last, np.int32)
+        self.slots[slots] = np.arange(self.last)
+        #: Slots that several hashes point to.
+        self.shared = np.bincount(slots, minlength=len(self.slots)) > 1
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are known, and their logs, 0 for others."""
+        slots = words & self.mask
+        at = self.slots[slots]
+        again = np.flatnonzero(self.shared[slots])
+        at[again] = np.searchsorted(self.hashes[: self.last], words[again])
+        often = self.known[at] & (self.hashes[at] == words)
+        return often, np.where(often, self.logs[at], 0.0)
+
+
 #: What this Python worker keeps for the tasks it gets: of the last run that asked for it.
 _KEPT: dict[str, object] = {}
 
@@ -177,16 +204,16 @@ def _read(path: str) -> Callable:
         words_seen, ids_seen = np.zeros(0, np.int64), np.zeros(lm.IDS, np.int64)
         for rows, words in _chunks(batches):
             if len(known) >= CACHED:
-                yield from counted(known.hashes(), words_seen, "word")
+                yield from counted(known.hashes(), words_seen[: len(known)], "word")
                 known.reset()
                 words_seen = np.zeros(0, np.int64)
             n_words = np.array([len(w) for w in words])
             places = known.places(words, int(n_words.sum()))
             ids, lengths = known.subwords(places)
             train = ~np.array([r[2] for r in rows])
-            seen = np.bincount(places[np.repeat(train, n_words)], minlength=len(known))
-            seen[: len(words_seen)] += words_seen
-            words_seen = seen
+            if len(known) > len(words_seen):
+                words_seen = np.r_[words_seen, np.zeros(len(known), np.int64)]
+            np.add.at(words_seen, places[np.repeat(train, n_words)], 1)
             stops = np.r_[0, np.cumsum(lengths)][np.cumsum(n_words)]
             starts = np.r_[0, stops[:-1]]
             ids_seen += np.bincount(ids[np.repeat(train, stops - starts)], minlength=lm.IDS)
@@ -196,7 +223,7 @@ def _read(path: str) -> Callable:
             data = ids.astype("<u2").tobytes()
             columns = dict(zip(("row", "doc_id", "held_out", "mark"), zip(*rows)))
             yield _rows(len(rows), **columns, ids=[data[2 * a : 2 * b] for a, b in zip(starts, stops)], opens=[np.packbits(opens[a:b]).tobytes() for a, b in zip(starts, stops)])
-        yield from counted(known.hashes()[: len(words_seen)], words_seen, "word")
+        yield from counted(known.hashes()[: len(words_seen)], words_seen[: len(known)], "word")
         yield from counted(np.arange(lm.IDS), ids_seen, "id")
 
     return run
@@ -276,22 +303,20 @@ def _score(path: str, counts: np.ndarray, weights: bytes, frequent: tuple[np.nda
     """frequent: sorted hashes of words, and their base log10; end: base log10 of the end of a text, and whether it is known."""
     key = uuid.uuid4().hex
 
-    def network() -> lm.Network:
+    def make() -> tuple[lm.Network, Logs]:
         vocabulary = _vocabulary(path, counts)
-        return lm.Network(lm.unpacked(weights, vocabulary), vocabulary)
+        return lm.Network(lm.unpacked(weights, vocabulary), vocabulary), Logs(*frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = _kept(key, network)
-        hashes, logs = frequent
+        net, logs = _kept(key, make)
         for rows, ids, lengths in _parts(batches, TRAINED):
             windows = lm.Windows(net.vocabulary, ids, lengths)
             score = np.add.reduceat(lm.log_probabilities(net, windows), windows.starts) / np.log(10)
             opens = np.concatenate([np.unpackbits(np.frombuffer(r[2], np.uint8), count=n) for r, n in zip(rows, lengths)]) if len(ids) else np.zeros(0, np.uint8)
             begin = np.flatnonzero(opens)
             words = word_hashes(ids, begin)
-            at = np.minimum(np.searchsorted(hashes, words), max(len(hashes) - 1, 0))
-            often = hashes[at] == words if len(hashes) else np.zeros(len(words), bool)
-            base = np.r_[0.0, np.cumsum(np.where(often, logs[at] if len(hashes) else 0.0, 0.0))]
+            often, base = logs.of(words)
+            base = np.r_[0.0, np.cumsum(base)]
             hits, many = np.r_[0, np.cumsum(often)], np.r_[0, np.cumsum(opens)]
             stops = np.cumsum(lengths)
             last, first = many[stops], many[stops - lengths]
@@ -304,7 +329,7 @@ def _score(path: str, counts: np.ndarray, weights: bytes, frequent: tuple[np.nda
     return run
 
 
-def frequent_words(counts: DataFrame) -> list:
+def frequent_words(counts: DataFrame) -> pa.Table:
     """At most FREQUENT rows of counts, those above a count that a histogram of logarithms gives."""
     bins = counts.groupBy(F.floor(F.log2("c") * 8).cast("int").alias("bin")).count().collect()
     held, least = 0, None
@@ -313,7 +338,7 @@ def frequent_words(counts: DataFrame) -> list:
         if held > FREQUENT:
             break
         least = r["bin"]
-    return [] if least is None else counts.filter(F.floor(F.log2("c") * 8) >= least).collect()
+    return counts.filter(F.floor(F.log2("c") * 8) >= least if least is not None else F.lit(False)).select("word", "c").toArrow().sort_by("word")
 
 
 def scores(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -330,10 +355,10 @@ def scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     n, v = n + end, v + (end > 0)
     bottom = n + 0.5 * (v + 1)
     weights = trained(documents.filter(~F.col("held_out")).select("mark", "ids"), path, ids)
-    log10 = lambda c: float(np.log10((c + 0.5) / bottom))
-    found = sorted((r.word, log10(r.c)) for r in frequent_words(counts))
-    frequent = np.array([w for w, _ in found], np.int64), np.array([x for _, x in found], np.float64)
-    scored = documents.select("doc_id", "held_out", "opens", "ids").mapInArrow(_score(path, ids, weights, frequent, (log10(end), int(end > 0))), SCORED)
+    log10 = lambda c: np.log10((c + 0.5) / bottom)
+    found = frequent_words(counts)
+    frequent = found.column("word").to_numpy(), log10(found.column("c").to_numpy())
+    scored = documents.select("doc_id", "held_out", "opens", "ids").mapInArrow(_score(path, ids, weights, frequent, (float(log10(end)), int(end > 0))), SCORED)
     rows = stored(scored.withColumn("row", F.monotonically_increasing_id()))
     rest = rows.select("row", F.explode("rest").alias("word")).join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     sums = rest.groupBy("row").agg(F.sum(F.log10((F.col("c") + 0.5) / bottom)).alias("more"), F.count_if(F.col("c") > 0).alias("also"))
