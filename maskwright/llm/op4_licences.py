@@ -46,6 +46,40 @@ SENTENCES = {
     "cc_by_sa_under": ["licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
     "cc_by_nc_under": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
     "reserved": ["all rights reserved"],
+    "gpl_terms": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
+    "lgpl_terms": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"],
+    "agpl_terms": ["you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"],
+    "either_2": ["either version 2 of the license or at your option any later version"],
+    "either_21": ["either version 2 1 of the license or at your option any later version"],
+    "either_3": ["either version 3 of the license or at your option any later version"],
+    "lgpl21_redistribute": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"],
+    "lgpl3_redistribute": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "agpl3_redistribute": ["you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "mpl_form": ["this source code form is subject to the terms of the mozilla public license v"],
+    "mpl2_copy": ["if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"],
+    "isc_grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "zero_grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
+    "isc_as_is": ["the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"],
+    "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "zlib_as_is": ["this software is provided as is without any express or implied warranty"],
+    "zlib_grant": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "boost_under": ["distributed under the boost software license version 1 0"],
+    "epl1_under": ["this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html"],
+    "epl2_under": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"],
+    "cddl_subject": ["the contents of this file are subject to the terms of the common development and distribution license the license"],
+    "eupl_under": ["licensed under the eupl version 1 2 or as soon they will be approved by the european commission subsequent versions of the eupl the licence"],
+    "wtfpl_terms": ["you can redistribute it and or modify it under the terms of the do what the fuck you want to public license version 2 as published by sam hocevar"],
+    "perl_terms": ["you can redistribute it and or modify it under the same terms as perl itself"],
+    "artistic2": ["the artistic license 2 0 gpl compatible"],
+    "ofl_under": ["this font software is licensed under the sil open font license version 1 1"],
+    "mulan_use": ["you can use this software according to the terms and conditions of the mulan psl v2"],
+    "ms_pl_under": ["licensed under the microsoft public license ms pl", "licensed under the microsoft public license"],
+    "cc0_under": ["licensed under cc0 1 0", "this work is licensed under cc0 1 0"],
+    "cc_by_nd_under": ["licensed under cc by nd 4 0", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"],
+    "cc_by_nc_sa_under": ["licensed under cc by nc sa 4 0", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license"],
+    "cc_by_nc_nd_under": ["licensed under cc by nc nd 4 0", "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license"],
+    "cc_by3_under": ["licensed under cc by 3 0", "this work is licensed under a creative commons attribution 3 0 unported license"],
+    "cc_by_sa3_under": ["licensed under cc by sa 3 0", "this work is licensed under a creative commons attribution sharealike 3 0 unported license"],
 }
 #: The whole published sentences of which SENTENCES has the first part.
 WHOLE = {
@@ -56,18 +90,43 @@ WHOLE = {
 RULES = {
     "Apache-2.0": [["apache_under", "apache_use", "apache_copy", "as_is"], ["apache_under", "apache_use", "apache_copy"], ["apache_under"]],
     "MIT": [["mit_grant", "mit_notice", "mit_as_is"], ["mit_under"]],
-    "GPL-3.0": [["gpl_free", "gpl3_redistribute"], ["gpl3_under"]],
-    "GPL-2.0": [["gpl_free", "gpl2_redistribute"]],
+    "GPL-3.0": [["gpl_free", "gpl_terms", "either_3"], ["gpl_free", "gpl3_redistribute"], ["gpl3_under"]],
+    "GPL-2.0": [["gpl_free", "gpl_terms", "either_2"], ["gpl_free", "gpl2_redistribute"]],
     "BSD-3-Clause": [["bsd_redistribute", "bsd_source", "bsd_binary", "bsd_endorse"]],
     "BSD-2-Clause": [["bsd_redistribute", "bsd_source", "bsd_binary"]],
     "CC-BY-4.0": [["cc_by_under"]],
     "CC-BY-SA-4.0": [["cc_by_sa_under"]],
     "CC-BY-NC-4.0": [["cc_by_nc_under"]],
     "all-rights-reserved": [["reserved"]],
+    "LGPL-2.1": [["lgpl_terms", "either_21"], ["lgpl21_redistribute"]],
+    "LGPL-3.0": [["lgpl_terms", "either_3"], ["lgpl3_redistribute"]],
+    "AGPL-3.0": [["agpl_terms", "either_3"], ["agpl3_redistribute"]],
+    "MPL-2.0": [["mpl_form", "mpl2_copy"]],
+    "ISC": [["isc_grant", "isc_as_is"]],
+    "0BSD": [["zero_grant", "isc_as_is"]],
+    "Unlicense": [["unlicense"]],
+    "Zlib": [["zlib_as_is", "zlib_grant"]],
+    "BSL-1.0": [["boost_under"]],
+    "EPL-1.0": [["epl1_under"]],
+    "EPL-2.0": [["epl2_under"]],
+    "CDDL-1.0": [["cddl_subject", "apache_use"]],
+    "EUPL-1.2": [["eupl_under"]],
+    "WTFPL": [["wtfpl_terms"]],
+    "Perl": [["perl_terms"]],
+    "Artistic-2.0": [["artistic2"]],
+    "OFL-1.1": [["ofl_under"]],
+    "MulanPSL-2.0": [["mulan_use"]],
+    "MS-PL": [["ms_pl_under"]],
+    "CC0-1.0": [["cc0_under"]],
+    "CC-BY-ND-4.0": [["cc_by_nd_under"]],
+    "CC-BY-NC-SA-4.0": [["cc_by_nc_sa_under"]],
+    "CC-BY-NC-ND-4.0": [["cc_by_nc_nd_under"]],
+    "CC-BY-3.0": [["cc_by3_under"]],
+    "CC-BY-SA-3.0": [["cc_by_sa3_under"]],
 }
 #: What stands before the first word of a line, comment marks among it.
 MARKS = "(^|\n)[^\\p{L}\\p{N}\n]*(?:(?:rem|dnl)(?![\\p{L}\\p{N}])[^\\p{L}\\p{N}\n]*)?"
-CUES = "licen[cs]e|redistribut|permission|free software|copyright|cc by|warrant|rights reserved"
+CUES = "licen[cs]e|redistribut|permission|free software|copyright|cc by|warrant|rights reserved|public domain|the mpl was|mulan psl"
 
 
 def _identifiers(text: Column) -> Column:
@@ -124,7 +183,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     known = ", ".join(f"('{text}', '{name}')" for name, texts in SENTENCES.items() for text in texts)
-    simple = {"Apache-2.0": "apache_under", "MIT": "mit_under", "GPL-3.0": "gpl3_under", "CC-BY-4.0": "cc_by_under", "CC-BY-SA-4.0": "cc_by_sa_under", "CC-BY-NC-4.0": "cc_by_nc_under", "all-rights-reserved": "reserved"}
+    simple = {name: rule[0] for name, rules in RULES.items() for rule in rules if len(rule) == 1}
     names = ", ".join(f"CASE WHEN list_contains(ids, '{i}') THEN '{name}' END" for name, i in simple.items())
     return f"""
 WITH known(plain, id) AS (VALUES {known}),

@@ -180,6 +180,33 @@ modification, are permitted provided that the following conditions are met:
 """
 
 
+def test_licences_by_their_notices(spark):
+    notices = {
+        "GPL-2.0": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.",
+        "LGPL-2.1": "# This library is free software; you can redistribute it and/or\n# modify it under the terms of the GNU Lesser General Public\n# License as published by the Free Software Foundation; either\n# version 2.1 of the License, or (at your option) any later version.",
+        "LGPL-3.0": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "AGPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published\nby the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+        "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */",
+        "ISC": 'Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES\nWITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF\nMERCHANTABILITY AND FITNESS. IN NO EVENT',
+        "0BSD": 'Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES\nWITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF\nMERCHANTABILITY AND FITNESS.',
+        "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free",
+        "Zlib": "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n",
+        "BSL-1.0": "// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file LICENSE_1_0.txt)",
+        "CDDL-1.0": 'The contents of this file are subject to the terms of the Common Development and Distribution License (the "License"). You may not use this file except in compliance with the License.',
+        "Perl": "This module is free software; you can redistribute it and/or modify it under the same terms as Perl itself.",
+        "OFL-1.1": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+        "MulanPSL-2.0": "X is licensed under Mulan PSL v2.\nYou can use this software according to the terms and conditions of the Mulan PSL v2.",
+    }
+    notices |= {name: li.SENTENCES[rule[0]][-1] for name, rules in li.RULES.items() if name not in notices for rule in rules if len(rule) == 1}
+    got = {r.doc_id: r.licences for r in li.licences(documents(spark, [(i, text, "en") for i, text in enumerate(notices.values())])).collect()}
+    assert [got[i] for i in range(len(notices))] == list(notices)
+    assert len(li.RULES) >= 30
+
+
+def test_every_licence_sentence_has_a_cue():
+    assert all(re.search(li.CUES, x) for known in (li.SENTENCES, li.WHOLE) for texts in known.values() for x in texts)
+
+
 def test_wrapped_verbatim_licences(spark):
     texts = {"MIT": MIT, "GPL-3.0": GPL3, "Apache-2.0": APACHE, "BSD-3-Clause": BSD3}
     flat = lambda t: "\n\n".join(" ".join(x.split()) for x in t.split("\n\n"))
