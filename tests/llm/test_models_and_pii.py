@@ -346,6 +346,20 @@ def test_words_encoded_together_are_those_encoded_alone():
         assert [x.tolist() for x in cut] == [known.encode(" " + w.decode()) for t in part for w in t]
 
 
+def test_logs_are_those_of_a_search():
+    rng = np.random.default_rng(11)
+    # Many hashes share their low bits, and some others do too without being known.
+    some = np.unique(rng.integers(-(2**62), 2**62, 3000))
+    hashes = np.unique(np.r_[some, some[:900] ^ (1 << 50)])
+    logs, asked = rng.random(len(hashes)), np.r_[rng.permutation(hashes), some[900:] ^ (1 << 51), 0, -1]
+    often, got = q9.Logs(hashes, logs).of(asked)
+    known = dict(zip(hashes.tolist(), logs.tolist()))
+    assert often.tolist() == [x in known for x in asked.tolist()]
+    assert got.tolist() == [known.get(x, 0.0) for x in asked.tolist()]
+    often, got = q9.Logs(np.zeros(0, np.int64), np.zeros(0)).of(asked)
+    assert not often.any() and not got.any()
+
+
 def test_word_hashes_tell_words_apart():
     rng = np.random.default_rng(10)
     words = {tuple(rng.integers(0, lm.IDS, rng.integers(1, 5)).tolist()) for _ in range(20_000)}
