@@ -57,14 +57,29 @@ def restore_case(texts: DataFrame, mappings: DataFrame, text: str = "text") -> D
 
 
 def restore_all(texts: DataFrame, mappings: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """texts with the tokens of any case replaced in order of appearance; of several mappings the earliest, then the smallest case, counts."""
+    """texts with the tokens of any case replaced in order of appearance.
+
+    Tokens of 30 bits may stand for different originals in different cases. Then a case that
+    knows every known token of the text goes first; of several such, or without one, the
+    earliest mapping counts, then the smallest case.
+    """
+    known = mappings.select("token", "case_id", "original", "first_seen")
     found = texts.filter(T.has_token(F.col(text))).select(key, F.posexplode(T.extract_tokens(F.col(text))).alias("at", "token"))
-    wanted = mappings.join(found.select("token").distinct(), "token", "left_semi")
-    first = wanted.groupBy("token").agg(F.min_by("original", F.struct("first_seen", "case_id")).alias("original"))
-    lists = found.join(first, "token").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "token", "original"))).alias("__m"))
-    put = lambda s, m: F.replace(s, m.token, m.original)
-    joined = texts.join(lists, key, "left")
-    return joined.withColumn(text, F.when(F.col("__m").isNull(), F.col(text)).otherwise(F.aggregate("__m", F.col(text), put))).drop("__m")
+    wanted = known.join(found.select("token").distinct(), "token", "left_semi")
+    earliest = F.min_by("original", F.struct("first_seen", "case_id"))
+    first = wanted.groupBy("token").agg(earliest.alias("original"), (F.min("original") != F.max("original")).alias("several"), F.count("*").alias("cases"))
+    lists = found.join(first, "token").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "token", "original"))).alias("__m"), F.max("several").alias("several"), F.min(F.struct("cases", "token"))["token"].alias("rarest"))
+    lists = stored(lists)
+    # A case that knows all of a text's tokens knows the rarest. With one token all cases do, and the earliest counts.
+    unclear = lists.filter(F.col("several") & (F.size("__m") > 1))
+    candidates = unclear.join(known.select(F.col("token").alias("rarest"), "case_id"), "rarest").select(key, "case_id", F.size("__m").alias("all"), F.explode("__m.token").alias("token"))
+    held = candidates.distinct().join(known, ["case_id", "token"])
+    whole = held.groupBy(key, "case_id").agg(F.count_distinct("token").alias("n"), F.first("all").alias("all"), F.collect_list(F.struct("token", "original", "first_seen")).alias("own")).filter("n = all")
+    chosen = whole.select(key, "case_id", F.inline("own")).groupBy(key, "token").agg(earliest.alias("original"))
+    own = chosen.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("__own"))
+    put = lambda s, m: F.replace(s, m.token, F.coalesce(F.element_at("__own", m.token), m.original))
+    joined = texts.join(lists.select(key, "__m"), key, "left").join(own, key, "left")
+    return joined.withColumn(text, F.when(F.col("__m").isNull(), F.col(text)).otherwise(F.aggregate("__m", F.col(text), put))).drop("__m", "__own")
 
 
 def purged(mappings: DataFrame, now: Column, minutes: int) -> DataFrame:

@@ -43,6 +43,14 @@ def test_restore_all_takes_the_earliest(spark):
     assert {r.k: r.text for r in store.restore_all(texts, known, "k").collect()} == {1: "x Anna «P_cccccc»", 2: "none"}
 
 
+def test_restore_all_prefers_the_case_that_knows_the_whole_text(spark):
+    late = datetime.datetime(2025, 1, 1)
+    known = mappings(spark, ("a", "«P_aaaaaa»", "Anna", AT), ("a", "«P_bbbbbb»", "Bernd", late), ("z", "«P_aaaaaa»", "Zoe", late), ("z", "«P_cccccc»", "Carl", late), ("y", "«P_cccccc»", "Carl", AT))
+    texts = spark.createDataFrame([(1, "«P_cccccc» «P_aaaaaa»"), (2, "«P_aaaaaa» «P_bbbbbb» «P_xxxxxx»"), (3, "«P_aaaaaa»"), (4, "«P_aaaaaa» «P_bbbbbb» «P_cccccc»"), (5, None)], "k int, text string")
+    got = {r.k: r.text for r in store.restore_all(texts, known, "k").collect()}
+    assert got == {1: "Carl Zoe", 2: "Anna Bernd «P_xxxxxx»", 3: "Anna", 4: "Anna Bernd Carl", 5: None}
+
+
 def test_purge_is_strict(spark):
     known = mappings(spark, ("a", "t1", "x", AT), ("a", "t2", "x", AT - datetime.timedelta(seconds=1)))
     now = F.lit(AT + datetime.timedelta(minutes=60)).cast("timestamp")
