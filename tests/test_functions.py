@@ -101,3 +101,8 @@ def test_labels_repeat_and_count_by_type(spark):
     got = one(spark, R.placeholders(findings(*rows)))
     assert [f.token for f in got] == ["«Person A»", "«Ort A»", "«Person B»", "«Person A»"]
     assert one(spark, R.entity_counts(findings(*rows))) == {"person": 3, "location": 1}
+
+
+def test_labels_go_on_behind_three_letters(spark):
+    numbers = {702: "ZZ", 703: "AAA", 18278: "ZZZ", 18279: "AAAA", 475254: "ZZZZ", 475255: "AAAAA"}
+    assert {n: one(spark, tokens.letters(F.lit(n))) for n in numbers} == numbers
