@@ -18,7 +18,7 @@ from maskwright.operators import rewrite as R
 from maskwright.plans import api
 from maskwright.plans.letters import LETTERS
 from maskwright.sources import inputs, store
-from maskwright.sources.tables import stored
+from maskwright.sources.tables import spread, stored
 
 #: A public key for the queries, whose results must be the same everywhere; real keys are arguments.
 KEY = b"0123456789abcdef0123456789abcdef"
@@ -41,7 +41,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(LETTERS.replace("FROM customer", "FROM {customer}"), customer=_table(spark, sf_dir, "customer"))
+    return spark.sql(LETTERS.replace("FROM customer", "FROM {customer}"), customer=spread(_table(spark, sf_dir, "customer").select("c_custkey")))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows that spread() gives to a task at most.
+ROWS_A_TASK = 10_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to at least all cores: a file of short rows is one split, however much work each of its rows makes."""
+    rows = df.count()
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK))
+    return df.repartition(max(1, min(tasks, rows)))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet and read back, so that several uses do not run the plan behind it again."""
     spark = df.sparkSession

@@ -54,3 +54,7 @@ def test_equal_to_sql_on_larger_tables(spark, duck, name):
 @pytest.mark.parametrize("name", [n for n in catalogue.queries() if n not in catalogue.oracle_sql()])
 def test_runs(spark, name):
     assert catalogue.queries()[name](spark, DATA).count() > 0
+
+
+def test_letters_are_dealt_to_all_cores(spark):
+    assert catalogue.letters(spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
