@@ -127,3 +127,10 @@ def test_spans_equal_a_unicode_regex_engine(spark):
         for i, t in enumerate(texts):
             safe = t.replace(V.OPEN, "\u0003").replace(V.SHUT, "\u0003")
             assert got[i] == [(len(safe[: m.start()].encode()), m[0]) for m in regex.finditer(plain, safe)], (name, t)
+
+
+def test_words_are_looked_up_by_hash(spark):
+    words = D.Gazetteer().names
+    rows = spark.createDataFrame([("Anna",), ("MÜLLER",), ("Nordwind",), (None,)], "x string").select("x", D._word_in(words)(F.col("x")).alias("known"), D._word_in(())(F.col("x")).alias("none"))
+    assert "INSET" in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.x, r.known, bool(r.none)) for r in rows.collect()] == [("Anna", True, False), ("MÜLLER", True, False), ("Nordwind", False, False), (None, None, False)]
