@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.checks import let
 
-#: Elements that are appended one by one; longer arrays are put together from blocks of so many.
+#: Most elements that are appended one by one; arrays are put together from blocks of the root of their length, at most so many.
 BLOCK = 512
 
 
@@ -23,12 +23,16 @@ def running(items: Column, start: Column, step: Callable[[Column, Column], Colum
     state = lambda s, out: F.struct(s.alias("s"), out.alias("out"))
     within = lambda a, x: let(step(a.s, x), lambda s: state(s, F.concat(a.out, F.array(s))))
 
-    def over(xs: Column) -> Column:
+    def over(xs: Column, most: Column) -> Column:
         def block(a: Column, b: Column) -> Column:
-            inner = F.aggregate(F.slice(xs, b * BLOCK + 1, F.lit(BLOCK)), state(a.s, empty), within)
+            inner = F.aggregate(F.slice(xs, b * most + 1, most), state(a.s, empty), within)
             return let(inner, lambda done: state(done.s, F.concat(a.out, done.out)))
 
-        blocks = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int"))
-        return F.when(F.size(xs) > 0, F.aggregate(blocks, state(start.cast(kind), empty), block, lambda a: a.out)).otherwise(empty)
+        blocks = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / most).cast("int"))
+        return F.aggregate(blocks, state(start.cast(kind), empty), block, lambda a: a.out)
 
-    return let(items, over)
+    def all_(xs: Column) -> Column:
+        root = F.least(F.ceil(F.sqrt(F.size(xs))).cast("int"), F.lit(BLOCK))
+        return F.when(F.size(xs) > 0, let(root, lambda most: over(xs, most))).otherwise(empty)
+
+    return let(items, all_)

@@ -5,6 +5,7 @@ import regex
 from pyspark.sql import functions as F
 
 from maskwright.functions import values as V
+from maskwright.functions.arrays import running
 from maskwright.operators import detect as D
 from maskwright.operators.spans import spans
 
@@ -134,3 +135,9 @@ def test_words_are_looked_up_by_hash(spark):
     rows = spark.createDataFrame([("Anna",), ("MÜLLER",), ("Nordwind",), (None,)], "x string").select("x", D._word_in(words)(F.col("x")).alias("known"), D._word_in(())(F.col("x")).alias("none"))
     assert "INSET" in rows._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.x, r.known, bool(r.none)) for r in rows.collect()] == [("Anna", True, False), ("MÜLLER", True, False), ("Nordwind", False, False), (None, None, False)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 255, 256, 257, 1000])
+def test_running_states_over_blocks_of_any_length(spark, n):
+    got = spark.range(1).select(running(F.array_repeat(F.lit(2), n), F.lit(0), lambda a, x: a + x, "int").alias("x")).first().x
+    assert got == [2 * (i + 1) for i in range(n)]
