@@ -106,3 +106,9 @@ def test_labels_repeat_and_count_by_type(spark):
 def test_labels_go_on_behind_three_letters(spark):
     numbers = {702: "ZZ", 703: "AAA", 18278: "ZZZ", 18279: "AAAA", 475254: "ZZZZ", 475255: "AAAAA"}
     assert {n: one(spark, tokens.letters(F.lit(n))) for n in numbers} == numbers
+
+
+def test_pads_are_computed_once_for_all_findings(spark):
+    found = F.array(*[F.struct(F.lit("person").alias("entity_type"), F.lit("Anna").alias("original"), F.lit(i).alias("start"), F.lit(i + 1).alias("end"), F.lit(0.7).alias("confidence")) for i in (0, 2, 4)])
+    pad = F.encode(F.rand(1).cast("string"), "UTF-8")
+    assert len({f.token for f in one(spark, R.pseudonyms(found, pad, F.lit(bytearray(64))))}) == 1
