@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,17 +31,41 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, batch: int | None = None) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back.
 
-    This cuts lineage, and the files outlive any executor.
+    This cuts lineage, and the files outlive any executor. batch: rows of an Arrow batch at most while it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/maskwright-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _batches_of(spark, batch):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch of whole texts. Of the usual 10,000 rows the JVM and Python each hold tens of MB a task, several times over.
+TEXTS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def _batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    usual = spark.conf.get(_BATCH)
+    if rows and not 0 < int(usual) <= rows:
+        spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, usual)
+
+
+def released() -> None:
+    """Gives the free memory of this Python worker back, since an idle worker keeps it beside the next task's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: Rows of keys (a few numbers each) that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 

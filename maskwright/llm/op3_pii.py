@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import bounded, stored, table
+from maskwright.llm.common import TEXTS, bounded, released, stored, table
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 LABELS = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[REDACTED]"]
@@ -163,6 +163,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near.append([dict(zip(("entity", "context", "term", "start", "end"), c)) for c in contexts(text, spans)] if spans else [])
         columns = [batch.column(0), batch.column(1), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(4)), pa.array(digests, pa.string()), pa.array(base, spans_type), pa.array(near, near_type)]
         yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in FOUND.split(", ")])
+    released()
 
 
 def bloom(terms: DataFrame) -> np.ndarray:
@@ -201,7 +202,10 @@ def _counted(known: np.ndarray, counted: int) -> Callable:
                         yield emitted(kept)
                         kept.clear()
         kept.update({w: n for w, n in seen.items() if passes(w)})
+        seen.clear()
         yield emitted(kept)
+        kept.clear()
+        released()
 
     return run
 
@@ -228,8 +232,8 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 def spans(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, text_hash, counts, base_sha256 and all (array of start, kind, end, in order)."""
-    found = stored(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_found, FOUND))
-    terms = found.select("doc_id", "text_hash", F.inline("near")).join(bounded(stored(disclosing(found, docs))), ["entity", "term"])
+    found = stored(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_found, FOUND), TEXTS)
+    terms = found.select("doc_id", "text_hash", F.inline("near")).join(bounded(stored(disclosing(found, docs), TEXTS)), ["entity", "term"])
     more = terms.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", F.lit(len(KINDS) - 1).alias("kind"), "end")).alias("more"))
     same = F.col("f.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("f.text_hash") == F.col("m.text_hash"))
     rows = found.drop("near").alias("f").join(stored(more).alias("m"), same, "left")

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from maskwright.llm import attention_lm as lm
 from maskwright.llm import bpe, mil
@@ -401,3 +402,25 @@ def test_training_helps():
     mean = lambda w: lm.log_probabilities(lm.Network(w, vocabulary), held).sum() / 1220
     assert mean(trainer.w) > mean(lm.initial(vocabulary)) + 0.5
     assert all(np.array_equal(x, trainer.w[k]) for k, x in lm.unpacked(lm.packed(trainer.w), vocabulary).items())
+
+
+def _small_batches(run, most):
+    def checked(batches):
+        def each():
+            for b in batches:
+                assert b.num_rows <= most, b.num_rows
+                yield b
+
+        yield from run(each())
+
+    return checked
+
+
+def test_texts_come_to_pii_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(pii, "_found", _small_batches(pii._found, 1000))
+    counted = pii._counted
+    monkeypatch.setattr(pii, "_counted", lambda *x: _small_batches(counted(*x), 1000))
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.range(0, 2500, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("write to a"), F.col("id"), F.lit("@example.com")).alias("text"))
+    assert pii.spans(docs).agg(F.count("*"), F.sum("n_email")).first()[:] == (2500, 2500)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == usual
