@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from maskwright.llm import attention_lm as lm
 from maskwright.llm import bpe
-from maskwright.llm.common import stored, table
+from maskwright.llm.common import TEXTS, released, stored, table
 
 FREQUENT = 250_000
 CACHED = 800_000
@@ -225,6 +225,7 @@ def _read(path: str) -> Callable:
             yield _rows(len(rows), **columns, ids=[data[2 * a : 2 * b] for a, b in zip(starts, stops)], opens=[np.packbits(opens[a:b]).tobytes() for a, b in zip(starts, stops)])
         yield from counted(known.hashes()[: len(words_seen)], words_seen[: len(known)], "word")
         yield from counted(np.arange(lm.IDS), ids_seen, "id")
+        released()
 
     return run
 
@@ -232,7 +233,7 @@ def _read(path: str) -> Callable:
 def read(docs: DataFrame, path: str) -> DataFrame:
     """docs: doc_id, held_out, text -> a stored table of READ."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", F.xxhash64("doc_id", "text").alias("mark"), F.col("text").cast("binary"))
-    return stored(rows.mapInArrow(_read(path), READ))
+    return stored(rows.mapInArrow(_read(path), READ), TEXTS)
 
 
 def _vocabulary(path: str, counts: np.ndarray) -> lm.Vocabulary:
@@ -268,6 +269,7 @@ def _weights(part: int, tokens: int, weights: bytes) -> pa.RecordBatch:
 
 def _train(path: str, counts: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _KEPT.clear()  # the words of the reading tasks are not needed any more
         vocabulary = _vocabulary(path, counts)
         trainer, part = lm.Trainer(lm.initial(vocabulary), vocabulary), None
         for rows, ids, lengths in _parts(batches, TRAINED):
@@ -275,6 +277,8 @@ def _train(path: str, counts: np.ndarray) -> Callable:
             trainer.show(lm.Windows(vocabulary, ids, lengths))
         if trainer.tokens:
             yield _weights(part, trainer.tokens, lm.packed(trainer.w))
+        del trainer
+        released()
 
     return run
 
@@ -290,7 +294,7 @@ def trained(documents: DataFrame, path: str, counts: np.ndarray) -> bytes:
     """documents: mark, ids. Weights averaged over the shards, FAN at a time until one row is left."""
     shards = int(np.clip(-(-int(counts.sum()) // SHARD), 1, MAX_SHARDS))
     dealt = documents.select(F.pmod("mark", F.lit(shards)).cast("int").alias("part"), "mark", "ids").repartitionById(shards, "part")
-    state = stored(dealt.sortWithinPartitions("mark", "ids").select("part", "ids").mapInArrow(_train(path, counts), WEIGHTS))
+    state = stored(dealt.sortWithinPartitions("mark", "ids").select("part", "ids").mapInArrow(_train(path, counts), WEIGHTS), TEXTS)
     while (left := state.count()) > 1:
         state = stored(state.groupBy(F.expr(f"part div {FAN}").alias("g")).applyInArrow(_averaged, WEIGHTS).withColumn("part", F.expr(f"part div {FAN}")))
     return bytes(state.first().weights) if left else lm.packed(lm.initial(_vocabulary(path, counts)))
@@ -325,6 +329,7 @@ def _score(path: str, counts: np.ndarray, weights: bytes, frequent: tuple[np.nda
             columns = [[r[0] for r in rows], [r[1] for r in rows], last - first + 1, hits[last] - hits[first] + end[1], base[last] - base[first] + end[0], score]
             kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), rest], [x.split()[0] for x in SCORED.split(", ")])
+        released()
 
     return run
 
@@ -359,7 +364,7 @@ def scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     found = frequent_words(counts)
     frequent = found.column("word").to_numpy(), log10(found.column("c").to_numpy())
     scored = documents.select("doc_id", "held_out", "opens", "ids").mapInArrow(_score(path, ids, weights, frequent, (float(log10(end)), int(end > 0))), SCORED)
-    rows = stored(scored.withColumn("row", F.monotonically_increasing_id()))
+    rows = stored(scored.withColumn("row", F.monotonically_increasing_id()), TEXTS)
     rest = rows.select("row", F.explode("rest").alias("word")).join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     sums = rest.groupBy("row").agg(F.sum(F.log10((F.col("c") + 0.5) / bottom)).alias("more"), F.count_if(F.col("c") > 0).alias("also"))
     return rows.drop("rest").join(sums, "row", "left").select(

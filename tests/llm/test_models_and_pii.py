@@ -424,3 +424,10 @@ def test_texts_come_to_pii_in_small_batches(spark, monkeypatch):
     docs = spark.range(0, 2500, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("write to a"), F.col("id"), F.lit("@example.com")).alias("text"))
     assert pii.spans(docs).agg(F.count("*"), F.sum("n_email")).first()[:] == (2500, 2500)
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == usual
+
+
+def test_texts_come_to_the_language_model_in_small_batches(spark, monkeypatch):
+    read = q9._read
+    monkeypatch.setattr(q9, "_read", lambda path: _small_batches(read(path), 1000))
+    docs = spark.range(0, 2500, 1, 1).select(F.col("id").alias("doc_id"), q9.held_out(F.col("id")).alias("held_out"), F.lit("two words").alias("text"))
+    assert q9.read(docs, q9.bpe.default_path()).filter("row is not null").count() == 2500
