@@ -58,3 +58,7 @@ def test_runs(spark, name):
 
 def test_letters_are_dealt_to_all_cores(spark):
     assert catalogue.letters(spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_pseudonyms_to_be_restored_are_made_by_all_cores(spark):
+    assert len(catalogue._with_mappings(spark, DATA)[0].inputFiles()) >= spark.sparkContext.defaultParallelism
