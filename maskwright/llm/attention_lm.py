@@ -142,43 +142,55 @@ class Windows:
             yield symbols, self.targets[a * NEW : (a + len(symbols)) * NEW]
 
 
+#: Added to the logarithm of attention to what stands outside the texts.
+MASK = -30
+#: Columns of an input's projection: q and a 1, which is times the mask; k and the mask; v and a 1, which adds up attention.
+Q, K, V = slice(0, KEY + 1), slice(KEY + 1, 2 * KEY + 2), slice(2 * KEY + 2, 2 * KEY + DIM + 3)
+
+
 class Network:
-    """The weights in the layout of the products: mask, sum of attention and biases ride along as columns."""
+    """The weights, in the layout of the products when they are asked for: mask and sum of attention ride along as columns."""
 
     def __init__(self, w: dict[str, np.ndarray], vocabulary: Vocabulary):
         self.w, self.vocabulary = w, vocabulary
-        n, d = vocabulary.size + 1, DIM
-        # An input is its embedding, a 1, and whether it is blank.
-        self.e = np.zeros((n, d + 2), np.float32)
-        self.e[:, d] = 1
-        self.e[vocabulary.blank, d + 1] = 1
-        self.a = np.zeros((d + 2, 2 * (KEY + 1) + d + 1), np.float32)
-        self.a[d, KEY] = self.a[d, -1] = 1  # q: times the mask; v: adds up attention
-        self.a[d + 1, 2 * KEY + 1] = -30  # k: the mask
-        self.refresh()
-
-    def refresh(self) -> None:
-        d = DIM
-        self.e[:, :d] = self.w["e"]
-        for at in (0, 1, 2):  # q, k, v
-            self.a[:d, at * (KEY + 1) : -1 if at == 2 else at * (KEY + 1) + KEY] = self.w["a"][:, at * KEY : None if at == 2 else (at + 1) * KEY]
-        self.bias = np.where(BACK >= 0, np.exp(np.minimum(self.w["r"], 30)[np.maximum(BACK, 0)]), 0).astype(np.float32)
-
-    def hidden(self, symbols: np.ndarray) -> dict[str, np.ndarray]:
-        n, d = len(symbols), DIM
-        x = np.take(self.e, symbols, axis=0)
-        all_ = (x.reshape(-1, d + 2) @ self.a).reshape(n, SPAN, -1)
-        q, k, v = all_[:, PAST:, : KEY + 1], all_[:, :, KEY + 1 : 2 * KEY + 2], all_[:, :, 2 * KEY + 2 :]
+
+    def projection(self) -> np.ndarray:
+        """From embeddings to the columns Q, K and V. The values pass through w["o"] here, not after they are added up, which is the same."""
+        out = np.zeros((DIM, V.stop), np.float32)
+        out[:, :KEY], out[:, K.start : K.stop - 1] = self.w["a"][:, :KEY], self.w["a"][:, KEY : 2 * KEY]
+        out[:, V.start : V.stop - 1] = self.w["a"][:, 2 * KEY :] @ self.w["o"]
+        return out
+
+    def projected(self, x: np.ndarray, projection: np.ndarray) -> np.ndarray:
+        """Of the embeddings x, none of them that of blank."""
+        out = x @ projection
+        out[:, KEY] = out[:, -1] = 1
+        return out
+
+    def bias(self) -> np.ndarray:
+        return np.where(BACK >= 0, np.exp(np.minimum(self.w["r"], 30)[np.maximum(BACK, 0)]), 0).astype(np.float32)
+
+    def hidden(self, x: np.ndarray, table: np.ndarray, places: np.ndarray) -> dict[str, np.ndarray]:
+        """x: embeddings; table: what projected() makes of them; places (B, SPAN): the rows of both that are the inputs."""
+        all_ = np.take(table, places, axis=0)
+        q, k, v = all_[:, PAST:, Q], all_[:, :, K], all_[:, :, V]
         a = power(q @ k.transpose(0, 2, 1))
-        a *= self.bias
-        o = (a @ v).reshape(-1, d + 1)
-        z = o[:, d:] + np.float32(1e-20)
-        o = o[:, :d] / z
-        h = np.ones((len(o), d + 1), np.float32)
-        u = o @ self.w["o"]
-        u += x[:, PAST:, :d].reshape(-1, d)
-        np.divide(u, np.abs(u) + 1, out=h[:, :d])
-        return {"x": x, "q": q, "k": k, "v": v, "a": a, "z": z, "o": o, "h": h}
+        a *= self.bias()
+        o = (a @ v).reshape(-1, DIM + 1)
+        z = o[:, DIM:] + np.float32(1e-20)
+        o = o[:, :DIM] / z
+        u = np.take(x, places[:, PAST:].ravel(), axis=0)
+        u += o
+        return {"q": q, "k": k, "v": v, "a": a, "z": z, "o": o, "u": u}
+
+
+def squashed(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """u / (1 + |u|) and a 1 in each row, and 1 + |u|."""
+    h, under = np.empty((len(u), DIM + 1), np.float32), np.abs(u)
+    under += 1
+    h[:, DIM] = 1
+    np.divide(u, under, out=h[:, :DIM])
+    return h, under
 
 
 _SUM: dict[int, np.ndarray] = {}
@@ -189,6 +201,26 @@ def _row_sums(p: np.ndarray) -> np.ndarray:
     return p @ _SUM.setdefault(p.shape[1], np.ones(p.shape[1], np.float32))
 
 
+#: Rows of tall matrices that are multiplied at once. All rows at once take up to twice the time.
+TALL = 256
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b for a tall a."""
+    n = len(a) // TALL
+    out = np.empty((len(a), b.shape[1]), np.float32)
+    np.matmul(a[: n * TALL].reshape(n, TALL, a.shape[1]), b, out=out[: n * TALL].reshape(n, TALL, b.shape[1]))
+    np.matmul(a[n * TALL :], b, out=out[n * TALL :])
+    return out
+
+
+def _crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b for tall a and b."""
+    n = len(a) // TALL
+    parts = a[: n * TALL].reshape(n, TALL, a.shape[1]).transpose(0, 2, 1) @ b[: n * TALL].reshape(n, TALL, b.shape[1])
+    return parts.sum(axis=0) + a[n * TALL :].T @ b[n * TALL :]
+
+
 class Inner:
     """The second level for targets, none of them blank and sorted by class: values of the symbols in the class of each, end to end."""
 
@@ -222,12 +254,15 @@ def _by_class(targets: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
 def log_probabilities(net: Network, windows: Windows) -> np.ndarray:
     """Natural log of the probability of each place of windows.targets, 0 where it is blank."""
     voc, out = windows.vocabulary, np.zeros(len(windows.targets), np.float64)
+    table = net.projected(net.w["e"], net.projection())
+    table[voc.blank, K.stop - 1] = MASK
     at = 0
     for symbols, targets in windows.batches():
         use = _by_class(targets, voc)
-        h, own = np.take(net.hidden(symbols)["h"], use, axis=0), targets[use]
+        h, _ = squashed(np.take(net.hidden(net.w["e"], table, symbols)["u"], use, axis=0))
+        own = targets[use]
         cls = voc.cls[own]
-        p = power(h @ net.w["c"])
+        p = power(_times(h, net.w["c"]))
         inner = Inner(net.w["u"], h, own, cls, voc)
         share = p[np.arange(len(own)), cls] / _row_sums(p) * (inner.values[inner.own] / inner.sums)
         out[at + use] = np.log(np.maximum(share, np.float32(1e-37))) - np.where(own == voc.unseen, voc.shared, np.float32(0))
@@ -239,10 +274,19 @@ class Trainer:
     """Adam over all windows of the texts it is shown, one pass; embeddings that a batch doesn't have stay as they are."""
 
     def __init__(self, weights: dict[str, np.ndarray], vocabulary: Vocabulary):
-        self.net = Network({n: x.copy() for n, x in weights.items()}, vocabulary)
-        self.w = self.net.w
-        self.m = {n: np.zeros_like(x) for n, x in self.w.items()}
-        self.s = {n: np.zeros_like(x) for n, x in self.w.items()}
+        #: All but the embeddings take each step together: their names, and how many numbers they are.
+        self.dense = [n for n in weights if n != "e"]
+        size = sum(weights[n].size for n in self.dense)
+        self.flat = {kind: np.zeros(size, np.float32) for kind in "wgms"}
+        self.w, self.g, self.m, self.s = ({"e": np.zeros_like(weights["e"])} for _ in range(4))
+        at = 0
+        for n in self.dense:
+            for kind, own in zip("wgms", (self.w, self.g, self.m, self.s)):
+                own[n] = self.flat[kind][at : at + weights[n].size].reshape(weights[n].shape)
+            at += weights[n].size
+        for n, x in weights.items():
+            self.w[n][...] = x
+        self.net = Network(self.w, vocabulary)
         self.steps = self.tokens = 0
 
     def show(self, windows: Windows) -> None:
@@ -250,70 +294,88 @@ class Trainer:
             self.step(symbols, targets)
 
     def step(self, symbols: np.ndarray, targets: np.ndarray) -> None:
-        w, d, voc = self.w, DIM, self.net.vocabulary
-        f = self.net.hidden(symbols)
+        w, g, d, voc = self.w, self.g, DIM, self.net.vocabulary
+        # The symbols of the batch, each once, and where they are. Blank is the last, if it is there.
+        marks = symbols.ravel()
+        by = np.argsort(marks.astype(np.uint16 if voc.size < 1 << 16 else np.int32), kind="stable")
+        marks = marks[by]
+        first = np.flatnonzero(np.r_[True, marks[1:] != marks[:-1]])
+        touched = marks[first]
+        places = np.empty(symbols.shape, np.intp)
+        places.ravel()[by] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(marks)]))
+        x, projection = w["e"][touched], self.net.projection()
+        table = self.net.projected(x, projection)
+        if touched[-1] == voc.blank:
+            table[-1, K.stop - 1] = MASK
+        f = self.net.hidden(x, table, places)
         use = _by_class(targets, voc)
-        h, own = np.take(f["h"], use, axis=0), targets[use]
+        h, under = squashed(np.take(f["u"], use, axis=0))
+        own = targets[use]
         cls, n, each = voc.cls[own], len(own), np.float32(1 / len(own))
         # Both levels of the output.
-        p = power(h @ w["c"])
+        p = power(_times(h, w["c"]))
         p *= (each / _row_sums(p))[:, None]
         p[np.arange(n), cls] -= each
         second = Inner(w["u"], h, own, cls, voc)
         values = second.values
         values *= np.repeat(each / second.sums, second.widths)
         values[second.own] -= each
-        g = {"c": h.T @ p, "u": np.zeros_like(w["u"])}
-        dh = p @ w["c"][:d].T
+        self.flat["g"][:] = 0
+        g["c"][...] = _crossed(h, p)
+        dh = _times(p, w["c"][:d].T)
         for rows, of, where, shape in second.parts:
             inner = values[where].reshape(shape)
-            g["u"][of] = inner.T @ h[rows]
+            np.matmul(inner.T, h[rows], out=g["u"][of])
             dh[rows] += inner @ w["u"][of, :d]
-        slope = np.abs(h[:, :d])
-        np.subtract(1, slope, out=slope)
-        slope *= slope
-        dh *= slope
+        dh /= under
+        dh /= under
         du = np.zeros((len(targets), d), np.float32)
         du[use] = dh
-        # Attention.
-        o, many = f["o"], len(symbols)
-        g["o"] = o.T @ du
-        do = du @ w["o"].T
-        share = f["a"].reshape(len(o), SPAN)
-        share /= f["z"]
-        do3, share3 = do.reshape(many, NEW, d), share.reshape(many, NEW, SPAN)
-        ds = do3 @ f["v"][:, :, :d].transpose(0, 2, 1)
-        ds -= np.einsum("ij,ij->i", do, o).reshape(many, NEW, 1)
-        ds *= share3
-        g["r"] = np.bincount(np.maximum(BACK, 0).ravel(), (ds.sum(axis=0) * (BACK >= 0)).ravel(), SPAN).astype(np.float32)
-        dall = np.zeros((many, SPAN, 2 * KEY + d), np.float32)
-        np.matmul(ds, f["k"][:, :, :KEY], out=dall[:, PAST:, :KEY])
-        np.matmul(ds.transpose(0, 2, 1), f["q"][:, :, :KEY], out=dall[:, :, KEY : 2 * KEY])
-        np.matmul(share3.transpose(0, 2, 1), do3, out=dall[:, :, 2 * KEY :])
-        flat = dall.reshape(-1, 2 * KEY + d)
-        g["a"] = f["x"].reshape(-1, d + 2)[:, :d].T @ flat
-        dx = (flat @ w["a"].T).reshape(many, SPAN, d)
+        # Attention, not divided by its sum z: that is done to what comes back.
+        many = len(symbols)
+        back = np.empty((len(targets), d + 1), np.float32)
+        do = back[:, :d]
+        np.divide(du, f["z"], out=do)
+        np.negative(np.einsum("ij,ij->i", do, f["o"]), out=back[:, d])
+        back = back.reshape(many, NEW, d + 1)
+        ds = back @ f["v"].transpose(0, 2, 1)
+        ds *= f["a"]
+        g["r"][:] = np.bincount(np.maximum(BACK, 0).ravel(), (ds.sum(axis=0) * (BACK >= 0)).ravel(), SPAN)
+        dall = np.empty((many, SPAN, V.stop), np.float32)
+        dall[:, :PAST, Q] = 0
+        np.matmul(ds, f["k"], out=dall[:, PAST:, Q])
+        np.matmul(ds.transpose(0, 2, 1), f["q"], out=dall[:, :, K])
+        np.matmul(f["a"].transpose(0, 2, 1), back, out=dall[:, :, V])
+        flat = dall.reshape(-1, V.stop)
+        da = _crossed(np.take(x, places.ravel(), axis=0), flat)
+        dv = da[:, V.start : V.stop - 1]
+        g["a"][:, :KEY], g["a"][:, KEY : 2 * KEY], g["a"][:, 2 * KEY :] = da[:, :KEY], da[:, K.start : K.stop - 1], dv @ w["o"].T
+        np.matmul(w["a"][:, 2 * KEY :].T, dv, out=g["o"])
+        dx = _times(flat, projection.T).reshape(many, SPAN, d)
         dx[:, PAST:] += du.reshape(many, NEW, d)
-        marks = symbols.ravel()
-        by = np.argsort(marks.astype(np.uint16 if voc.size < 1 << 16 else np.int32), kind="stable")
-        marks = marks[by]
-        first = np.flatnonzero(np.r_[True, marks[1:] != marks[:-1]])
-        touched = marks[first]
+        # Two columns at a time, as complex numbers, are added in half the time.
+        sums = np.add.reduceat(np.take(dx.reshape(-1, d), by, axis=0).view(np.complex64), first, axis=0).view(np.float32)
         if touched[-1] == voc.blank:
-            touched, sums = touched[:-1], np.add.reduceat(dx.reshape(-1, d)[by], first, axis=0)[:-1]
-        else:
-            sums = np.add.reduceat(dx.reshape(-1, d)[by], first, axis=0)
+            touched, sums = touched[:-1], sums[:-1]
         self.tokens += n
         self.steps += 1
         rate = np.float32(RATE * np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps))
-        for name, own in g.items():
-            m, s = self.m[name], self.s[name]
-            m += np.float32(0.1) * (own - m)
-            s += np.float32(0.001) * (own * own - s)
-            w[name] -= rate * m / (np.sqrt(s) + np.float32(1e-8))
+        self.flat["w"] -= _adam(self.flat["m"], self.flat["s"], self.flat["g"], rate)
         m, s = self.m["e"][touched], self.s["e"][touched]
-        m += np.float32(0.1) * (sums - m)
-        s += np.float32(0.001) * (sums * sums - s)
+        w["e"][touched] -= _adam(m, s, sums, rate)
         self.m["e"][touched], self.s["e"][touched] = m, s
-        w["e"][touched] -= rate * m / (np.sqrt(s) + np.float32(1e-8))
-        self.net.refresh()
+
+
+def _adam(m: np.ndarray, s: np.ndarray, g: np.ndarray, rate: np.float32) -> np.ndarray:
+    """The step; m and s are brought up to date, g is used up."""
+    m *= np.float32(0.9)
+    s *= np.float32(0.999)
+    m += np.float32(0.1) * g
+    g *= g
+    g *= np.float32(0.001)
+    s += g
+    np.sqrt(s, out=g)
+    g += np.float32(1e-8)
+    np.divide(m, g, out=g)
+    g *= rate
+    return g

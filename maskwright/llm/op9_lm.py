@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from maskwright.llm import attention_lm as lm
 from maskwright.llm import bpe
-from maskwright.llm.common import TEXTS, released, stored, table
+from maskwright.llm.common import TEXTS, held, released, stored, table
 
 FREQUENT = 250_000
 CACHED = 800_000
@@ -270,6 +270,7 @@ def _weights(part: int, tokens: int, weights: bytes) -> pa.RecordBatch:
 def _train(path: str, counts: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _KEPT.clear()  # the words of the reading tasks are not needed any more
+        held()
         vocabulary = _vocabulary(path, counts)
         trainer, part = lm.Trainer(lm.initial(vocabulary), vocabulary), None
         for rows, ids, lengths in _parts(batches, TRAINED):
@@ -312,6 +313,7 @@ def _score(path: str, counts: np.ndarray, weights: bytes, frequent: tuple[np.nda
         return lm.Network(lm.unpacked(weights, vocabulary), vocabulary), Logs(*frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held()
         net, logs = _kept(key, make)
         for rows, ids, lengths in _parts(batches, TRAINED):
             windows = lm.Windows(net.vocabulary, ids, lengths)

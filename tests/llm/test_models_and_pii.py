@@ -5,9 +5,11 @@ import hashlib
 import math
 import random
 import re
+import resource
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from maskwright.llm import attention_lm as lm
@@ -404,6 +406,30 @@ def test_training_helps():
     assert all(np.array_equal(x, trainer.w[k]) for k, x in lm.unpacked(lm.packed(trainer.w), vocabulary).items())
 
 
+def test_training_keeps_the_memory_of_freed_arrays():
+    """A step of training takes few new pages from the system. Before, each array was mapped and zeroed anew."""
+    steps, rng = 60, np.random.default_rng(6)
+    ids = rng.integers(0, 2000, steps * lm.BATCH * lm.NEW - 1)
+    run = q9._train(bpe.default_path(), np.bincount(np.r_[ids, lm.END], minlength=lm.IDS))
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([ids.astype("<u2").tobytes()])], ["part", "ids"])
+    list(run(iter([batch])))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    list(run(iter([batch])))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 250 * steps
+
+
+def test_inputs_are_projected_once_a_symbol(monkeypatch):
+    rows, projected = [], lm.Network.projected
+    monkeypatch.setattr(lm.Network, "projected", lambda self, x, p: rows.append(len(x)) or projected(self, x, p))
+    vocabulary = small_vocabulary()
+    windows = lm.Windows(vocabulary, np.random.default_rng(3).integers(0, 50, 5000), np.array([5000]))
+    trainer = lm.Trainer(lm.initial(vocabulary), vocabulary)
+    trainer.show(windows)
+    lm.log_probabilities(trainer.net, windows)
+    # The symbols of the one batch, and all of the vocabulary with blank.
+    assert len(rows) == 2 and rows[0] <= rows[1] == vocabulary.size + 1
+
+
 def _small_batches(run, most):
     def checked(batches):
         def each():
