@@ -40,7 +40,10 @@ def power(x: np.ndarray) -> np.ndarray:
     x *= _UNIT
     x += _ONE
     np.clip(x, _LEAST, _MOST, out=x)
-    return x.astype(np.int32).view(np.float32)
+    # One dimension, as only then numpy converts in place, without a copy.
+    flat = x.reshape(-1)
+    np.copyto(flat.view(np.int32), flat, casting="unsafe")
+    return flat.reshape(x.shape)
 
 
 class Vocabulary:

@@ -24,11 +24,11 @@ not read.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from array import array
-from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain, count, groupby, islice
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -76,36 +76,111 @@ def word_hashes(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
 END_HASH = int(word_hashes(np.array([lm.END]), np.array([0]))[0])
 
 
-class Table(defaultdict):
-    """word -> its place; for each place the subword ids."""
+#: The first n bytes of eight, and how many bytes of a word are mixed eight at a time.
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LONG = 256
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The last steps of splitmix64, which map different numbers to different numbers; x is used up."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def byte_hashes(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word of data. Words of eight bytes at most and the same length never share one."""
+    eights = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
+    out = lengths.astype(np.uint64) * _STEP
+    which = np.arange(len(lengths))
+    for at in range(0, LONG, 8):
+        which = which[lengths[which] > at]
+        if not len(which):
+            break
+        x = eights[starts[which] + at]
+        x &= _BYTES[np.minimum(lengths[which] - at, 8)]
+        x ^= out[which]
+        out[which] = _mixed(x)
+    for i in np.flatnonzero(lengths > LONG).tolist():
+        word = data[starts[i] : starts[i] + lengths[i]]
+        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return out
+
+
+class Table:
+    """word -> its place; for each place the subword ids. Words are told apart by a 64-bit hash of their bytes, and looked up all at once."""
 
     def __init__(self, path: str):
-        super().__init__()
         self.encode, self.opens = bpe.encoder(path).encode, bpe.encoder(path).opens(lm.IDS)
         self.reset()
 
     def reset(self) -> None:
-        self.clear()
-        self.default_factory = count().__next__
         self.ids, self.starts, self.lengths = array("i"), array("i"), array("i")
+        #: Hash of the word at each place, and places by the low bits of the hash, or in the next slot that was free; negative: free.
+        self.keys, self.slots = np.zeros(1 << 14, np.uint64), np.full(1 << 16, -1, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.lengths)
+
+    def _found(self, keys: np.ndarray) -> np.ndarray:
+        """The places of words, negative for those not met before."""
+        mask = len(self.slots) - 1
+        at = (keys & np.uint64(mask)).astype(np.int64)
+        out = self.slots[at]
+        wrong = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & mask
+            place = self.slots[at[wrong]]
+            out[wrong] = place
+            wrong = wrong[(place >= 0) & (self.keys[place] != keys[wrong])]
+        return out
+
+    def _enter(self, keys: np.ndarray, before: int) -> None:
+        """New words, the first of them at the place before. At most a quarter of the slots are taken."""
+        n = before + len(keys)
+        if n > len(self.keys):
+            size = 1 << (n - 1).bit_length()
+            self.keys = np.r_[self.keys[:before], np.zeros(size - before, np.uint64)]
+            self.slots = np.full(4 * size, -1, np.int32)
+            keys, before = np.r_[self.keys[:before], keys], 0
+        self.keys[before:n] = keys
+        mask = len(self.slots) - 1
+        at, places = (keys & np.uint64(mask)).astype(np.int64), np.arange(before, n, dtype=np.int32)
+        while len(at):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = places[free]
+            # Of several words that came to a slot together one has got it.
+            lost = self.slots[at] != places
+            at, places = (at[lost] + 1) & mask, places[lost]
 
     def places(self, words: list[list[bytes]], n: int) -> np.ndarray:
         """The places of n words; those not met before are encoded together."""
-        before = len(self)
-        out = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, n)
-        # The places follow the order in which the words came, and so do the keys.
-        new = [w.decode() for w in islice(reversed(self), len(self) - before)][::-1]
+        data = b" ".join(chain.from_iterable(words))
+        stops = np.flatnonzero(np.frombuffer(data + b" ", np.uint8) == 32)[:n]
+        starts = np.r_[0, stops[:-1] + 1][:n]
+        keys, before = byte_hashes(data, starts, stops - starts), len(self)
+        out = self._found(keys)
+        missing = np.flatnonzero(out < 0)
+        if not len(missing):
+            return out
+        fresh, first, inverse = np.unique(keys[missing], return_index=True, return_inverse=True)
+        out[missing] = before + inverse
+        first = missing[first]
+        new = [data[a:b].decode() for a, b in zip(starts[first].tolist(), stops[first].tolist())]
         text = "".join(" " + w for w in new)
         # In this pre-tokenisation a space always begins a group, and so a word, where no other white space is next to it.
         if text.split() == new:
             self._add(self.encode(text))
-            return out
-        for alone, run in groupby(new, lambda w: w.split() != [w]):
-            if alone:
-                for w in run:
-                    self._add(self.encode(" " + w), cut=False)
-            else:
-                self._add(self.encode("".join(" " + w for w in run)))
+        else:
+            for alone, run in groupby(new, lambda w: w.split() != [w]):
+                if alone:
+                    for w in run:
+                        self._add(self.encode(" " + w), cut=False)
+                else:
+                    self._add(self.encode("".join(" " + w for w in run)))
+        self._enter(fresh, before)
         return out
 
     def _add(self, ids: list[int], cut: bool = True) -> None:

@@ -349,6 +349,22 @@ def test_words_encoded_together_are_those_encoded_alone():
         assert [x.tolist() for x in cut] == [known.encode(" " + w.decode()) for t in part for w in t]
 
 
+def test_places_of_words_are_those_of_a_dict(monkeypatch):
+    """Words are looked up all at once by a hash of their bytes, also where all of them meet in one slot."""
+    rng, hashes = np.random.default_rng(13), q9.byte_hashes
+    words = [w for n in (0, 7, 8, 9, 250) for end in (b"", b"\0", b"\0\0", b"x", b"y") for m in (0, 1, 8) if (w := b"a" * n + end + b"b" * m)]
+    words += [rng.integers(97, 100, n).astype(np.uint8).tobytes() for n in rng.integers(1, 12, 40_000).tolist()]
+    for met, n in ((hashes, len(words)), (lambda *x: hashes(*x) << np.uint64(16), 400)):
+        monkeypatch.setattr(q9, "byte_hashes", met)
+        known, places = q9.Table(bpe.default_path()), {}
+        for a in range(0, n, 9000):
+            part = words[:n][a : a + 9000]
+            for word, place in zip(part, known.places([part, []], len(part)).tolist()):
+                assert places.setdefault(word, place) == place
+        assert len(set(places.values())) == len(places) == len(known)
+        assert known.places([[]], 0).tolist() == []
+
+
 def test_logs_are_those_of_a_search():
     rng = np.random.default_rng(11)
     # Many hashes share their low bits, and some others do too without being known.
